@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "catalog", "channels")
+MODULES = ("scoring", "catalog", "channels", "reports")
 
 
 def load_all() -> None:
