@@ -16,7 +16,7 @@ from lamina.session import settle
 
 PART = ["volume_id", "component"]
 PAIR = ["volume_id", "component_a", "component_b"]
-ENDS = [f"{s}{c}" for s in "ab" for c in M.COORDS]
+ENDS = [f"{s}_{c}" for s in "ab" for c in M.COORDS]
 
 
 def nearest_pairs_within(points: DataFrame, max_gap: float) -> DataFrame:
@@ -36,10 +36,10 @@ def nearest_pairs_within(points: DataFrame, max_gap: float) -> DataFrame:
     boxes = gridded.groupBy(*PART, "gz", "gy", "gx").agg(*corners)
     names = ["component", "gz", "gy", "gx", *[f"{c}{i}" for c in M.COORDS for i in (0, 1)]]
     side = lambda s: boxes.select("volume_id", *[F.col(n).alias(f"{n}_{s}") for n in names])
-    steps = F.array(*[F.lit(i) for i in range(-reach, reach + 1)])
     left = side("a")
     for c in M.COORDS:
-        left = left.withColumn(f"g{c}", F.explode(F.transform(steps, lambda i, c=c: F.col(f"g{c}_a") + i)))
+        around = F.array(*[F.col(f"g{c}_a") + i for i in range(-reach, reach + 1)])
+        left = left.withColumn(f"g{c}", F.explode(around))
     right = side("b").select("*", *[F.col(f"g{c}_b").alias(f"g{c}") for c in M.COORDS])
     near, far = [], []
     for c in M.COORDS:
@@ -58,10 +58,10 @@ def nearest_pairs_within(points: DataFrame, max_gap: float) -> DataFrame:
     for s in "ab":
         ends = gridded.select(
             "volume_id", F.col("component").alias(f"component_{s}"),
-            *[F.col(f"g{c}").alias(f"g{c}_{s}") for c in M.COORDS], *[F.col(c).alias(f"{s}{c}") for c in M.COORDS],
+            *[F.col(f"g{c}").alias(f"g{c}_{s}") for c in M.COORDS], *[F.col(c).alias(f"{s}_{c}") for c in M.COORDS],
         )
         open_ = open_.join(ends, ["volume_id", f"component_{s}", *[f"g{c}_{s}" for c in M.COORDS]])
-    d2 = square([F.col(f"a{c}") - F.col(f"b{c}") for c in M.COORDS])
+    d2 = square([F.col(f"a_{c}") - F.col(f"b_{c}") for c in M.COORDS])
     return (
         open_.withColumn("d2", d2)
         .filter((F.col("d2") < max_gap * max_gap) & (F.col("d2") > 0))
@@ -114,13 +114,13 @@ def bridge_candidates(runs: DataFrame, settings: M.BridgeSettings = M.BridgeSett
     pairs = settle(nearest_pairs_within(surface, settings.max_gap))
     out = pairs
     for s in "ab":
-        ends = pairs.select("volume_id", F.col(f"component_{s}").alias("component"), *[F.col(f"{s}{c}").alias(c) for c in M.COORDS])
+        ends = pairs.select("volume_id", F.col(f"component_{s}").alias("component"), *[F.col(f"{s}_{c}").alias(c) for c in M.COORDS])
         tangents = local_tangent(ends, voxels, settings.tangent_radius).select(
             "volume_id", F.col("component").alias(f"component_{s}"),
-            *[F.col(c).alias(f"{s}{c}") for c in M.COORDS], *[F.col(f"t{c}").alias(f"t{c}_{s}") for c in M.COORDS],
+            *[F.col(c).alias(f"{s}_{c}") for c in M.COORDS], *[F.col(f"t{c}").alias(f"t{c}_{s}") for c in M.COORDS],
         )
-        out = out.join(tangents, ["volume_id", f"component_{s}", *[f"{s}{c}" for c in M.COORDS]])
-    ray = [(F.col(f"b{c}") - F.col(f"a{c}")) / F.col("distance") for c in M.COORDS]
+        out = out.join(tangents, ["volume_id", f"component_{s}", *[f"{s}_{c}" for c in M.COORDS]])
+    ray = [(F.col(f"b_{c}") - F.col(f"a_{c}")) / F.col("distance") for c in M.COORDS]
     angle_a = _angle([F.col(f"t{c}_a") for c in M.COORDS], ray)
     angle_b = _angle([F.col(f"t{c}_b") for c in M.COORDS], [-r for r in ray])
     return out.select(*PAIR, "distance", *ENDS, angle_a.alias("angle_a"), angle_b.alias("angle_b")).filter(
@@ -130,13 +130,13 @@ def bridge_candidates(runs: DataFrame, settings: M.BridgeSettings = M.BridgeSett
 
 def rasterize_segments(segments: DataFrame, volumes: DataFrame, tube_radius: int = 0) -> DataFrame:
     """Voxel lines between two end points, optionally as tubes, clipped to the volume."""
-    delta = [F.col(f"b{c}") - F.col(f"a{c}") for c in M.COORDS]
+    delta = [F.col(f"b_{c}") - F.col(f"a_{c}") for c in M.COORDS]
     steps = F.greatest(*[F.abs(d) for d in delta])
     points = segments.withColumn("__n", F.greatest(steps, F.lit(1))).withColumn(
         "__i", F.explode(F.sequence(F.lit(0), steps))
     )
     at = [
-        F.rint(F.col("__i") * (d.cast("double") / F.col("__n")) + F.col(f"a{c}")).cast("int").alias(c)
+        F.rint(F.col("__i") * (d.cast("double") / F.col("__n")) + F.col(f"a_{c}")).cast("int").alias(c)
         for c, d in zip(M.COORDS, delta)
     ]
     line = points.select("volume_id", *at).filter("z >= 0 AND y >= 0 AND x >= 0")

@@ -275,3 +275,15 @@ def affinity_agreement(
         F.avg(loss).alias("bce"),
         ((2 * F.sum(p * t) + smooth) / (F.sum(p) + F.sum(t) + smooth)).alias("soft_dice"),
     )
+
+
+def score_cases(
+    predictions: DataFrame, labels: DataFrame, volumes: DataFrame, pairs: DataFrame, scrolls: DataFrame | None = None
+) -> DataFrame:
+    """Score the volumes whose :func:`lamina.sources.scores.score_pairs` status is ``score``."""
+    todo = pairs.filter("status = 'score'").select(*KEY)
+    here = lambda df: df.join(todo, KEY, "left_semi")
+    scored = case_score(here(predictions), here(labels), here(volumes))
+    if scrolls is None:
+        return scored
+    return scored.join(scrolls.select(*KEY, "scroll_id"), KEY, "left")

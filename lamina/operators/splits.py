@@ -100,19 +100,32 @@ def group_holdout(cases: DataFrame, val_scrolls: Sequence[str]) -> DataFrame:
     return cases.select(F.lit(0).alias("fold"), "case_id", role.alias("role"))
 
 
-def read_splits(spark: SparkSession, path: str) -> DataFrame:
-    """Fold list JSON to rows; ``source`` names the file."""
-    raw = spark.read.option("multiLine", True).schema("train ARRAY<STRING>, val ARRAY<STRING>").json(path)
-    # All folds of a file sit in one row group of the reader, in list order.
-    numbered = raw.withColumn("fold", F.monotonically_increasing_id().cast("int"))
-    return _split_rows(numbered, f"file:{path}")
+def write_splits(folds: DataFrame, path: str) -> None:
+    """Fold list JSON, one line per fold in fold order.
+
+    A fold's case list is one value of that format, so it must fit a task.
+    """
+    side = lambda r: F.sort_array(F.collect_list(F.when(F.col("role") == r, F.col("case_id")))).alias(r)
+    folds.groupBy("fold").agg(side("train"), side("val")).orderBy("fold").write.mode("overwrite").json(path)
 
 
-def _split_rows(folds: DataFrame, source: str) -> DataFrame:
+def read_splits(spark: SparkSession, path: str) -> DataFrame:
+    """Fold list JSON, one array of folds or one fold per line, to rows; ``source`` names the file.
+
+    Folds without a ``fold`` number take their list position.
+    """
+    text = spark.read.option("wholetext", True).text(path)
+    # Either form parses as an array of folds once line breaks between folds become commas.
+    body = F.trim(F.regexp_replace(F.trim("value"), r"\}\s*\n\s*\{", "},{"))
+    listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
+    folds = text.filter(F.length(F.trim("value")) > 0).select(
+        F.posexplode(F.from_json(listed, "ARRAY<STRUCT<fold: INT, train: ARRAY<STRING>, val: ARRAY<STRING>>>"))
+    )
+    numbered = folds.select(F.coalesce("col.fold", "pos").alias("fold"), "col.train", "col.val")
     sides = [
-        folds.select("fold", F.explode(side).alias("case_id"), F.lit(side).alias("role")) for side in ("train", "val")
+        numbered.select("fold", F.explode(side).alias("case_id"), F.lit(side).alias("role")) for side in ("train", "val")
     ]
-    return sides[0].unionByName(sides[1]).withColumn("source", F.lit(source))
+    return sides[0].unionByName(sides[1]).withColumn("source", F.lit(f"file:{path}"))
 
 
 def resolve_splits(spark: SparkSession, path: str | None, cases: DataFrame, k: int = 5, seed: int = 42) -> DataFrame:

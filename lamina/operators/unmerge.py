@@ -18,9 +18,8 @@ PART = ["volume_id", "component"]
 
 def near_cells(radius: int, columns: Sequence[str] = M.COORDS) -> list:
     """Columns of the 27 grid cells around a point, for a grid of ``radius`` wide cells."""
-    steps = F.array(*[F.lit(s) for s in (-1, 0, 1)])
     return [
-        F.transform(steps, lambda s, c=c: F.expr(f"CAST(floor({c} / {radius}) AS INT)") + s) for c in columns
+        F.array(*[F.expr(f"CAST(floor({c} / {radius}) AS INT) + {step}") for step in (-1, 0, 1)]) for c in columns
     ]
 
 
@@ -155,7 +154,7 @@ def cut_counts(info: DataFrame, volumes: DataFrame) -> DataFrame:
     """Components, candidates and cuts per volume, for the gate."""
     counts = info.groupBy("volume_id").agg(
         F.count(F.lit(1)).alias("n_components"),
-        F.count_if("n_seeds >= 2").alias("n_candidates"),
+        F.count_if(F.col("n_seeds") >= 2).alias("n_candidates"),
         F.count_if("cut").alias("n_edits"),
     )
     return volumes.select("volume_id").join(counts, "volume_id", "left").na.fill(0)

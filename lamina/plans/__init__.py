@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "catalog", "channels", "reports")
+MODULES = ("scoring", "catalog", "channels", "reports", "edits")
 
 
 def load_all() -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,11 @@ def settle(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lamina-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder of that name next to the checkpoints, for tables a job hands on."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        settle(spark.range(1))
+    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
