@@ -28,7 +28,7 @@ def nearest_pairs_within(points: DataFrame, max_gap: float) -> DataFrame:
     points of the remaining boxes are paired, so the cost stays close to that of the
     contact area. Equal distances: first point of a, then of b, in raster order.
     """
-    size = max(1, ceil(max_gap / 2))
+    size = max(4, ceil(max_gap / 2))
     reach = ceil(max_gap / size)
     cell = [F.expr(f"CAST({c} div {size} AS INT)").alias(f"g{c}") for c in M.COORDS]
     gridded = points.select(*PART, *M.COORDS, *cell)

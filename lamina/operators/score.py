@@ -13,6 +13,7 @@ from lamina.operators import components as C
 from lamina.operators import packed as P
 
 KEY = ["volume_id"]
+SIDED = ["volume_id", "side"]
 
 
 def apply_ignore(mask: DataFrame, ignore: DataFrame) -> DataFrame:
@@ -20,39 +21,51 @@ def apply_ignore(mask: DataFrame, ignore: DataFrame) -> DataFrame:
     return mask.join(ignore.select(*M.VOXEL), M.VOXEL, "left_anti")
 
 
-def _bit_total(words: DataFrame, name: str) -> DataFrame:
-    return words.groupBy(*KEY).agg(F.sum(F.bit_count("bits").cast("long")).alias(name))
+def both_sides(pred: DataFrame, truth: DataFrame) -> DataFrame:
+    """Prediction (side 0) and ground truth (side 1) as one table, so that every step runs once."""
+    side = lambda df, i: df.select(*M.VOXEL, F.lit(i).alias("side"))
+    return side(pred, 0).unionByName(side(truth, 1))
 
 
 def surface_dice(
     pred: DataFrame, truth: DataFrame, volumes: DataFrame, tolerance: float = M.SURFACE_TOLERANCE
 ) -> DataFrame:
-    """Share of surface voxels of either side within ``tolerance`` of the other side's surface.
+    """Share of surface voxels of either side within ``tolerance`` of the other side's surface."""
+    return sided_surface_dice(both_sides(pred, truth), volumes, tolerance)
+
+
+def sided_surface_dice(masks: DataFrame, volumes: DataFrame, tolerance: float = M.SURFACE_TOLERANCE) -> DataFrame:
+    """:func:`surface_dice` of ``(volume_id, side, z, y, x)`` rows.
 
     A voxel is within tolerance iff it lies in the other surface dilated by the ball,
-    so no distance is ever computed.
+    so no distance is ever computed; matches are counted bit by bit.
     """
-    ball = ball_spans(tolerance)
-    p = P.surface_words(P.pack(pred))
-    t = P.surface_words(P.pack(truth))
-    parts = [
-        _bit_total(p, "n_pred"),
-        _bit_total(t, "n_truth"),
-        _bit_total(P.overlap(p, P.dilate_words(t, ball, volumes)), "pred_matched"),
-        _bit_total(P.overlap(t, P.dilate_words(p, ball, volumes)), "truth_matched"),
-    ]
-    out = volumes.select(*KEY)
-    for part in parts:
-        out = out.join(part, KEY, "left")
+    surface = P.surface_words(P.pack(masks, SIDED), SIDED)
+    near = P.dilate_words(surface, ball_spans(tolerance), volumes, SIDED)
+    tagged = surface.withColumn("kind", F.lit(0)).unionByName(near.withColumn("kind", F.lit(1)))
+    none = F.lit(0).cast("long")
+    pick = lambda kind, side: F.bit_or(
+        F.when((F.col("kind") == kind) & (F.col("side") == side), F.col("bits")).otherwise(none)
+    )
+    merged = tagged.groupBy(*KEY, *P.WORD_KEYS).agg(
+        pick(0, 0).alias("p"), pick(0, 1).alias("t"), pick(1, 0).alias("near_p"), pick(1, 1).alias("near_t")
+    )
+    total = lambda bits: F.sum(F.bit_count(F.expr(bits)).cast("long"))
+    found = merged.groupBy(*KEY).agg(
+        total("p").alias("n_pred"),
+        total("t").alias("n_truth"),
+        total("p & near_t").alias("pred_matched"),
+        total("t & near_p").alias("truth_matched"),
+    )
     counts = ["n_pred", "n_truth", "pred_matched", "truth_matched"]
-    out = out.na.fill(0, counts)
-    total = F.col("n_pred") + F.col("n_truth")
+    out = volumes.select(*KEY).join(found, KEY, "left").na.fill(0, counts)
+    size = F.col("n_pred") + F.col("n_truth")
     return out.select(
         *KEY,
         *counts,
-        F.when(total == 0, 1.0)
+        F.when(size == 0, 1.0)
         .when((F.col("n_pred") == 0) | (F.col("n_truth") == 0), 0.0)
-        .otherwise((F.col("pred_matched") + F.col("truth_matched")) / F.nullif(total, F.lit(0)))
+        .otherwise((F.col("pred_matched") + F.col("truth_matched")) / F.nullif(size, F.lit(0)))
         .cast("double")
         .alias("surface_dice"),
     )
@@ -102,14 +115,14 @@ def _contingency(pred_runs: DataFrame, truth_runs: DataFrame) -> DataFrame:
     )
 
 
-def euler_characteristic(mask: DataFrame, volumes: DataFrame) -> DataFrame:
+def euler_characteristic(mask: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """Vertices - edges + faces - cubes of the voxels taken as closed unit cubes.
 
     A cell spanning the axes outside a set S is present iff one of the voxels shifted
     by 0 or 1 along the axes of S is; the eight kinds of cells are eight shifted ORs of
     the packed mask.
     """
-    words = P.pack(mask)
+    words = P.pack(mask, keys)
     low = "4294967295L"
     taps = F.expr(
         "array(struct(0 AS dz, 0 AS dy), struct(0 AS dz, 1 AS dy), struct(1 AS dz, 0 AS dy), struct(1 AS dz, 1 AS dy))"
@@ -120,9 +133,9 @@ def euler_characteristic(mask: DataFrame, volumes: DataFrame) -> DataFrame:
         " struct(xb + 1 AS xb, 0L AS own, shiftrightunsigned(bits, 31) AS both))"
     )
     cells = (
-        words.select(*KEY, "z", "y", F.inline(blocks))
+        words.select(*keys, "z", "y", F.inline(blocks))
         .filter("both != 0")
-        .select(*KEY, "z", "y", "xb", "own", "both", F.inline(taps))
+        .select(*keys, "z", "y", "xb", "own", "both", F.inline(taps))
     )
     kinds, terms = [], []
     for sz in (0, 1):
@@ -133,25 +146,31 @@ def euler_characteristic(mask: DataFrame, volumes: DataFrame) -> DataFrame:
                 kinds.append(F.bit_or(F.when(allowed, F.col(column)).otherwise(F.lit(0).cast("long"))).alias(name))
                 sign = 1 if (sz + sy + sx) % 2 else -1
                 terms.append(F.bit_count(name) * sign)
-    merged = cells.groupBy(*KEY, (F.col("z") + F.col("dz")).alias("z"), (F.col("y") + F.col("dy")).alias("y"), "xb").agg(*kinds)
+    merged = cells.groupBy(*keys, (F.col("z") + F.col("dz")).alias("z"), (F.col("y") + F.col("dy")).alias("y"), "xb").agg(*kinds)
     total = sum(terms[1:], terms[0])
-    found = merged.groupBy(*KEY).agg(F.sum(total.cast("long")).alias("euler"))
-    return volumes.select(*KEY).join(found, KEY, "left").na.fill(0, ["euler"])
+    found = merged.groupBy(*keys).agg(F.sum(total.cast("long")).alias("euler"))
+    return volumes.select(*keys).join(found, list(keys), "left").na.fill(0, ["euler"])
 
 
-def betti_numbers(mask: DataFrame, volumes: DataFrame, runs: DataFrame | None = None, tile: int = C.TILE) -> DataFrame:
-    """b0 (26-connected parts), b1 (tunnels) and b2 (6-connected cavities) per volume."""
+def betti_numbers(
+    mask: DataFrame,
+    volumes: DataFrame,
+    runs: DataFrame | None = None,
+    keys: Sequence[str] = ("volume_id",),
+    tile: int = C.TILE,
+) -> DataFrame:
+    """b0 (26-connected parts), b1 (tunnels) and b2 (6-connected cavities) per ``keys`` row of ``volumes``."""
     if runs is None:
-        runs = C.label_runs(C.to_runs(mask, KEY, tile), 26, KEY, tile)
-    parts = runs.groupBy(*KEY).agg(F.count_distinct("node").alias("b0"))
-    holes = C.count_internal_holes(mask, C.bounds(volumes), KEY, tile)
-    chi = euler_characteristic(mask, volumes)
+        runs = C.label_runs(C.to_runs(mask, keys, tile), 26, keys, tile)
+    parts = runs.groupBy(*keys).agg(F.count_distinct("node").alias("b0"))
+    holes = C.count_internal_holes(mask, C.bounds(volumes, keys), keys, tile)
+    chi = euler_characteristic(mask, volumes, keys)
     b0 = F.coalesce("b0", F.lit(0)).cast("long")
     return (
-        chi.join(parts, KEY, "left")
-        .join(holes, KEY)
+        chi.join(parts, list(keys), "left")
+        .join(holes, list(keys))
         .select(
-            *KEY,
+            *keys,
             b0.alias("b0"),
             F.greatest(F.lit(0), b0 - F.col("euler") + F.col("n_holes")).alias("b1"),
             F.col("n_holes").alias("b2"),
@@ -190,15 +209,15 @@ def score_masks(
     tile: int = C.TILE,
 ) -> DataFrame:
     """All score parts per volume; masks must already exclude ignored voxels."""
-    p_runs = C.label_runs(C.to_runs(pred, KEY, tile), 26, KEY, tile)
-    t_runs = C.label_runs(C.to_runs(truth, KEY, tile), 26, KEY, tile)
-    # Later parts start from the settled runs instead of the callers' plans.
-    pred, truth = C.from_runs(p_runs), C.from_runs(t_runs)
-    dice = surface_dice(pred, truth, volumes, tolerance).select(*KEY, "surface_dice")
-    information = voi(p_runs, t_runs, volumes)
-    topology = topo_score(
-        betti_numbers(pred, volumes, p_runs, tile), betti_numbers(truth, volumes, t_runs, tile)
-    )
+    runs = C.label_runs(C.to_runs(both_sides(pred, truth), SIDED, tile), 26, SIDED, tile)
+    # Everything below starts from the settled runs instead of the callers' plans.
+    masks = C.from_runs(runs, keys=SIDED)
+    sides = volumes.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
+    one = lambda df, i: df.filter(F.col("side") == i).drop("side")
+    dice = sided_surface_dice(masks, volumes, tolerance).select(*KEY, "surface_dice")
+    information = voi(one(runs, 0), one(runs, 1), volumes)
+    betti = betti_numbers(masks, sides, runs, SIDED, tile)
+    topology = topo_score(one(betti, 0), one(betti, 1))
     score = (
         M.TOPO_WEIGHT * F.col("topo_score")
         + M.DICE_WEIGHT * F.col("surface_dice")

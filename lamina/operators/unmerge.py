@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina import model as M
-from lamina.functions.stencils import ball_spans, cross_spans
+from lamina.functions.stencils import ball_offsets, ball_spans, cross_spans
 from lamina.operators import components as C
 from lamina.operators import packed as P
 from lamina.session import settle
@@ -23,19 +23,35 @@ def near_cells(radius: int, columns: Sequence[str] = M.COORDS) -> list:
     ]
 
 
-def _grid(rows: DataFrame, size: int) -> DataFrame:
+def _claims(rest: DataFrame, rim: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
+    """Nearest seed of the voxels of ``rest`` that have one within ``radius``."""
+    size = 2 * radius
+    cell = [F.expr(f"CAST({c} div {size} AS INT)").alias(f"g{c}") for c in M.COORDS]
+    targets = rest.select(*keys, *M.COORDS, *cell)
+    sources = rim.select(*keys, "seed", *[F.col(c).alias(f"s{c}") for c in M.COORDS])
     for c in M.COORDS:
-        rows = rows.withColumn(f"g{c}", F.expr(f"CAST({c} div {size} AS INT)"))
-    return rows
+        ends = [F.expr(f"CAST(floor((s{c} {sign} {radius}) / {size}) AS INT)") for sign in "-+"]
+        sources = sources.withColumn(f"g{c}", F.explode(F.array_distinct(F.array(*ends))))
+    steps = [F.col(c) - F.col(f"s{c}") for c in M.COORDS]
+    d2 = sum((s * s for s in steps[1:]), steps[0] * steps[0])
+    return (
+        targets.join(sources, [*keys, "gz", "gy", "gx"])
+        .withColumn("d2", d2)
+        .filter(F.col("d2") <= radius * radius)
+        .groupBy(*keys, *M.COORDS)
+        .agg(F.min(F.struct("d2", "seed")).alias("best"))
+        .select(*keys, *M.COORDS, F.col("best.seed").alias("seed"))
+    )
 
 
 def nearest_seed_partition(voxels: DataFrame, seeds: DataFrame, keys: Sequence[str] = tuple(PART)) -> DataFrame:
     """Each voxel takes the ``seed`` of the nearest seed voxel; the smaller seed wins a tie.
 
-    Works outward: a round settles every voxel within its radius, exactly, by an
-    equi-join on grid cells of that width, and only the rest goes on to the doubled
-    radius. A key without any seed yields no rows. Only seed voxels at the seed's own
-    surface can be nearest to a voxel outside it.
+    Works outward, each round settling every voxel within its radius exactly, so only
+    the rest goes on to the doubled radius: seed voxels first claim the cells of a small
+    ball, then meet the remaining voxels on a grid whose cells are twice the radius
+    wide, where a seed reaches at most eight cells. A key without any seed yields no
+    rows. Only seed voxels at the seed's own surface can be nearest to a voxel outside it.
     """
     at = [*keys, *M.COORDS]
     has_seed = seeds.select(*keys).distinct()
@@ -46,28 +62,26 @@ def nearest_seed_partition(voxels: DataFrame, seeds: DataFrame, keys: Sequence[s
     with_seed = [*keys, "seed"]
     rim = settle(P.unpack(P.surface_words(P.pack(seeds, with_seed), with_seed), with_seed))
     found = [voxels.select(*at).join(inside, at)]
+    taps = F.array(
+        *[
+            F.struct(*[F.lit(v).alias(c) for v, c in zip(o, M.COORDS)], F.lit(sum(v * v for v in o)).alias("d2"))
+            for o in ball_offsets(2)
+        ]
+    )
+    moved = rim.withColumn("t", F.explode(taps))
+    claimed = moved.groupBy(*keys, *[(F.col(c) + F.col(f"t.{c}")).alias(c) for c in M.COORDS]).agg(
+        F.min(F.struct("t.d2", "seed")).alias("best")
+    )
+    hit = claimed.join(rest, at, "left_semi").select(*at, F.col("best.seed").alias("seed"))
     radius = 2
-    while not rest.isEmpty():
-        cells = _grid(rim, radius).select(
-            *keys, "gz", "gy", "gx", "seed", *[F.col(c).alias(f"s{c}") for c in M.COORDS]
-        )
-        near = rest
-        for c, cell in zip(M.COORDS, near_cells(radius)):
-            near = near.withColumn(f"g{c}", F.explode(cell))
-        d2 = sum(((F.col(c) - F.col(f"s{c}")) * (F.col(c) - F.col(f"s{c}")) for c in M.COORDS[1:]),
-                 (F.col("z") - F.col("sz")) * (F.col("z") - F.col("sz")))
-        hit = (
-            near.join(cells, [*keys, "gz", "gy", "gx"])
-            .withColumn("d2", d2)
-            .filter(F.col("d2") <= radius * radius)
-            .groupBy(*at)
-            .agg(F.min(F.struct("d2", "seed")).alias("best"))
-            .select(*at, F.col("best.seed").alias("seed"))
-        )
+    while True:
         hit = settle(hit)
         found.append(hit)
         rest = settle(rest.join(hit, at, "left_anti"))
+        if rest.isEmpty():
+            break
         radius *= 2
+        hit = _claims(rest, rim, keys, radius)
     out = found[0]
     for part in found[1:]:
         out = out.unionByName(part)

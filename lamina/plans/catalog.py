@@ -249,6 +249,7 @@ def _rounded(df, *names):
     f"""{DENSE}, s AS (SELECT volume_id, count(*) AS count, min(value) AS min, max(value) AS max, avg(value) AS mean, stddev_pop(value) AS std,
  quantile_cont(value, 0.01) AS p01, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99 FROM dense WHERE label <> 2 GROUP BY 1)
 SELECT volume_id, count, min, max, round(mean, 4) AS mean, round(std, 4) AS std, {_r('p01', 'p50', 'p99')} FROM s""",
+    derive_once=True,
 )
 def intensity_stats(spark, folder):
     out = stats.intensity_stats(X.voxels(spark, folder), X.volumes(spark, folder))
@@ -274,6 +275,7 @@ b AS (SELECT r.*, CAST(UNNEST(range(64)) AS INT) AS bin FROM r),
 c AS (SELECT volume_id, CAST(least(floor((value - lo) / ((hi - lo) / 64)), 63) AS INT) AS bin, count(*) AS n FROM dense JOIN r USING (volume_id) WHERE label <> 2 GROUP BY 1, 2)
 SELECT volume_id, bin, lo + (hi - lo) / 64 * bin AS edge, round(CAST(coalesce(n, 0) AS DOUBLE) / total / ((hi - lo) / 64), 9) AS density
 FROM b LEFT JOIN c USING (volume_id, bin)""",
+    derive_once=True,
 )
 def intensity_histogram(spark, folder):
     out = stats.intensity_histogram(X.voxels(spark, folder), X.volumes(spark, folder))
@@ -359,6 +361,7 @@ v AS (SELECT volume_id, count(*) FILTER (label = 1) AS pos, count(*) FILTER (lab
 SELECT volume_id, CAST(neg AS DOUBLE) / greatest(pos, 1) AS neg_pos_ratio, CAST(pos AS DOUBLE) / (pos + neg) AS surface_among_labeled,
  CAST(ign AS DOUBLE) / 13824 AS frac_ignore, coalesce(num_patches, 0) AS num_patches, coalesce(a, 0.0::DOUBLE) AS frac_patches_with_surface,
  coalesce(b, 0.0::DOUBLE) AS frac_patches_ge_1pct, round(coalesce(m, 0.0::DOUBLE), 6) AS median_patch_fraction FROM v LEFT JOIN p USING (volume_id)""",
+    derive_once=True,
 )
 def imbalance_report(spark, folder):
     v, volumes = X.voxels(spark, folder), X.volumes(spark, folder)
@@ -384,7 +387,7 @@ def _shift(spark, folder):
     return stats.scroll_domain_shift(X.voxels(spark, folder), X.volumes(spark, folder))
 
 
-@query("scroll_domain_shift", f"{_SHIFT} SELECT scroll_a, scroll_b, {_r(*_SHIFT_NUMBERS)} FROM shift")
+@query("scroll_domain_shift", f"{_SHIFT} SELECT scroll_a, scroll_b, {_r(*_SHIFT_NUMBERS)} FROM shift", derive_once=True)
 def scroll_domain_shift(spark, folder):
     return _rounded(_shift(spark, folder), *_SHIFT_NUMBERS)
 
@@ -394,6 +397,7 @@ def scroll_domain_shift(spark, folder):
     f"""{_SHIFT} SELECT round(avg(hist_l1), 6) AS mean_hist_l1, round(avg(surface_density_diff), 6) AS mean_density_gap,
 CASE WHEN count(*) = 0 THEN 'need two scrolls' WHEN avg(hist_l1) > 0.25 OR avg(surface_density_diff) > 0.05 THEN 'leave one scroll out'
 ELSE 'scrolls are similar' END AS verdict FROM shift""",
+    derive_once=True,
 )
 def validation_recommendation(spark, folder):
     return _rounded(stats.validation_recommendation(_shift(spark, folder)), "mean_hist_l1", "mean_density_gap")

@@ -185,6 +185,7 @@ def argmax_label(spark, folder):
     "ensemble",
     f"""{VOX}, e AS (SELECT volume_id, z, y, x, CAST(0.65 AS DOUBLE) * (1 - prob) + CAST(0.35 AS DOUBLE) * (1 - tax) AS a, CAST(0.65 AS DOUBLE) * prob + CAST(0.35 AS DOUBLE) * tax AS b FROM vox WHERE volume_id <> 'v0')
 SELECT volume_id, z, y, x, round(a, 6) AS p0, round(b, 6) AS p1, CASE WHEN round(b, 6) > round(a, 6) THEN 1 ELSE 0 END AS label FROM e""",
+    derive_once=True,
 )
 def ensemble(spark, folder):
     out = H.ensemble(X.model_probs(spark, folder), {"a": 0.65, "b": 0.35})
@@ -230,12 +231,12 @@ def _targets(spark, folder, background=False):
     return H.affinity_targets(X.voxels(spark, folder), parts, volumes, _OFFSETS, background)
 
 
-@query("affinity_targets", f"{affinity_sql(False)} SELECT * FROM aff")
+@query("affinity_targets", f"{affinity_sql(False)} SELECT * FROM aff", derive_once=True)
 def affinity_targets(spark, folder):
     return H.dense_affinity(_targets(spark, folder), X.volumes(spark, folder), _OFFSETS)
 
 
-@query("affinity_targets_unmasked", f"{affinity_sql(True)} SELECT * FROM aff WHERE affinity >= 0")
+@query("affinity_targets_unmasked", f"{affinity_sql(True)} SELECT * FROM aff WHERE affinity >= 0", derive_once=True)
 def affinity_unmasked(spark, folder):
     return _targets(spark, folder, background=True)
 
@@ -245,6 +246,7 @@ def affinity_unmasked(spark, folder):
     f"""{affinity_sql(False)}, j AS (SELECT oz, oy, ox, a.volume_id, affinity AS t, coalesce(prob * 4 - 2, 0) AS g FROM aff a LEFT JOIN vox USING (volume_id, z, y, x) WHERE affinity >= 0)
 SELECT volume_id, oz, oy, ox, count(*) AS n_valid, round(avg(greatest(g, 0) - g * t + ln(1 + exp(-abs(g)))), 6) AS bce,
 round((2 * sum(t / (1 + exp(-g))) + 1e-5::DOUBLE) / (sum(1 / (1 + exp(-g))) + sum(t) + 1e-5::DOUBLE), 6) AS soft_dice FROM j GROUP BY 1, 2, 3, 4""",
+    derive_once=True,
 )
 def affinity_agreement(spark, folder):
     v = X.voxels(spark, folder).select("volume_id", "z", "y", "x", (F.col("prob") * 4 - 2).alias("logit"))

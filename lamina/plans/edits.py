@@ -93,7 +93,7 @@ def _partition(spark, folder):
     return unmerge.nearest_seed_partition(parts, seeds)
 
 
-@query("nearest_seed_partition", f"{_NEAREST} SELECT volume_id, CAST(component AS BIGINT) AS component, z, y, x, seed FROM near")
+@query("nearest_seed_partition", f"{_NEAREST} SELECT volume_id, CAST(component AS BIGINT) AS component, z, y, x, seed FROM near", derive_once=True)
 def nearest_seed_partition(spark, folder):
     return _partition(spark, folder)
 
@@ -103,6 +103,7 @@ def nearest_seed_partition(spark, folder):
     f"""{_NEAREST}, edge AS (SELECT DISTINCT a.volume_id, a.component, a.z, a.y, a.x FROM near a JOIN near b USING (volume_id, component)
   WHERE a.seed <> b.seed AND abs(a.z - b.z) + abs(a.y - b.y) + abs(a.x - b.x) = 1), {dilate_sql('wide', 'edge', 1, 'volume_id, component')}
 SELECT volume_id, CAST(component AS BIGINT) AS component, z, y, x FROM wide""",
+    derive_once=True,
 )
 def partition_boundary(spark, folder):
     return unmerge.partition_boundary(_partition(spark, folder), X.volumes(spark, folder), 2)
@@ -299,7 +300,7 @@ _CASE = f"""{MASKS}, {DICE_SQL}, {VOI_SQL}, {_TOPO}, case_scores AS MATERIALIZED
  FROM dice JOIN voi USING (volume_id) JOIN topo USING (volume_id))"""
 
 
-@query("topo_score", f"{MASKS}, {_TOPO} SELECT volume_id, {', '.join(f'round({c}, 6) AS {c}' for c in _PARTS if 'topo' in c)} FROM topo")
+@query("topo_score", f"{MASKS}, {_TOPO} SELECT volume_id, {', '.join(f'round({c}, 6) AS {c}' for c in _PARTS if 'topo' in c)} FROM topo", derive_once=True)
 def topo_score(spark, folder):
     pred, truth = scored_masks(spark, folder)
     volumes = X.volumes(spark, folder)
@@ -307,19 +308,19 @@ def topo_score(spark, folder):
     return out.select("volume_id", *[F.round(c, 6).alias(c) for c in out.columns[1:]])
 
 
-@query("case_score", f"{_CASE} SELECT * FROM case_scores")
+@query("case_score", f"{_CASE} SELECT * FROM case_scores", derive_once=True)
 def case_score(spark, folder):
     return score.case_score(X.predicted(spark, folder), X.voxels(spark, folder), X.volumes(spark, folder))
 
 
-@query("score_cases", f"{_CASE} SELECT c.*, scroll_id FROM case_scores c JOIN volumes USING (volume_id) WHERE scroll_id <> 's1'")
+@query("score_cases", f"{_CASE} SELECT c.*, scroll_id FROM case_scores c JOIN volumes USING (volume_id) WHERE scroll_id <> 's1'", derive_once=True)
 def score_cases(spark, folder):
     volumes = X.volumes(spark, folder)
     pairs = S.score_pairs(volumes, volumes, volumes.filter("scroll_id = 's1'"))
     return score.score_cases(X.predicted(spark, folder), X.voxels(spark, folder), volumes, pairs, volumes)
 
 
-@query("score_incrementally", f"{_CASE} SELECT * FROM case_scores")
+@query("score_incrementally", f"{_CASE} SELECT * FROM case_scores", derive_once=True)
 def incremental(spark, folder):
     base = session.shared_folder(spark, "landing")
     volumes, labels = X.volumes(spark, folder), X.voxels(spark, folder)

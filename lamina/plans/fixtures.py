@@ -7,9 +7,13 @@ derivations for the comparison engine.
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.session import settle
+
 SIDE = 24
 SUPPLIERS = 12
 
@@ -22,8 +26,30 @@ def _volume_key(supplier: str) -> Column:
     return F.col(supplier) - F.col(supplier) % SUPPLIERS
 
 
+_written: dict[str, DataFrame] | None = None
+
+
+@contextmanager
+def deriving_once():
+    """Within the block the voxel table of a folder is written once and then read."""
+    global _written
+    _written = {}
+    try:
+        yield
+    finally:
+        _written = None
+
+
 def voxels(spark: SparkSession, folder: str) -> DataFrame:
     """``volume_id, z, y, x, intensity, label, prob, tax``"""
+    if _written is None:
+        return _derive(spark, folder)
+    if folder not in _written:
+        _written[folder] = settle(_derive(spark, folder))
+    return _written[folder]
+
+
+def _derive(spark: SparkSession, folder: str) -> DataFrame:
     line = table(spark, folder, "lineitem")
     key = [
         F.concat(F.lit("v"), _volume_key("l_suppkey").cast("string")).alias("volume_id"),

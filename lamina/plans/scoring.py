@@ -65,7 +65,7 @@ def apply_ignore(spark, folder):
     return scored_masks(spark, folder)[0]
 
 
-@query("surface_dice", f"{MASKS}, {DICE_SQL} SELECT * FROM dice")
+@query("surface_dice", f"{MASKS}, {DICE_SQL} SELECT * FROM dice", derive_once=True)
 def surface_dice(spark, folder):
     pred, truth = scored_masks(spark, folder)
     return score.surface_dice(pred, truth, X.volumes(spark, folder))
@@ -148,7 +148,7 @@ def euler(spark, folder):
     return score.euler_characteristic(X.truth(spark, folder), X.volumes(spark, folder))
 
 
-@query("betti_numbers", f"{MASKS}, {betti_sql('b', 'guess')} SELECT * FROM b")
+@query("betti_numbers", f"{MASKS}, {betti_sql('b', 'guess')} SELECT * FROM b", derive_once=True)
 def betti(spark, folder):
     return score.betti_numbers(X.predicted(spark, folder), X.volumes(spark, folder))
 
@@ -168,6 +168,7 @@ voi AS MATERIALIZED (SELECT volume_id, CAST(sum(n) AS BIGINT) AS n_foreground, -
     "voi",
     f"""{MASKS}, {VOI_SQL} SELECT volume_id, n_foreground, round(voi_split, 6) AS voi_split,
 round(voi_merge, 6) AS voi_merge, round(voi_score, 6) AS voi_score FROM voi""",
+    derive_once=True,
 )
 def voi(spark, folder):
     from pyspark.sql import functions as F
