@@ -109,7 +109,7 @@ def mean_score(cases: DataFrame, predictions: DataFrame, labels: DataFrame, scor
         )
     )
     # The check is part of the aggregated value, so it cannot be optimised away.
-    value = F.when(F.col("problem").isNotNull(), F.raise_error("problem").cast("double")).otherwise(F.col("score"))
+    value = F.when(F.col("problem").isNotNull(), F.raise_error(F.col("problem")).cast("double")).otherwise(F.col("score"))
     return checked.join(scores.select("case_id", "score"), "case_id", "left").agg(
         F.count(F.lit(1)).alias("n_cases"), F.avg(value).alias("mean_score")
     )

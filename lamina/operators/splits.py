@@ -114,7 +114,7 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
     Folds without a ``fold`` number take their list position.
     """
-    text = spark.read.option("wholetext", True).text(path)
+    text = spark.read.text(path, wholetext=True)
     # Either form parses as an array of folds once line breaks between folds become commas.
     body = F.trim(F.regexp_replace(F.trim("value"), r"\}\s*\n\s*\{", "},{"))
     listed = F.when(body.startswith("["), body).otherwise(F.concat(F.lit("["), body, F.lit("]")))
