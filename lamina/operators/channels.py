@@ -78,10 +78,15 @@ def highpass_channel(voxels: DataFrame, volumes: DataFrame, sigma: float = 1.0,
 def ensemble(probs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
     """Weighted class sums over all models and the winning class.
 
-    Only volumes every model has seen are combined; a model without a weight counts 1.
+    Only volumes every model has seen are combined. ``weights`` names the models to
+    combine; without it all models of the table count 1 each.
     """
+    if weights:
+        probs = probs.filter(F.col("model").isin(*weights))
+        every = probs.sparkSession.range(1).select(F.lit(len(weights)).alias("n_models"))
+    else:
+        every = probs.agg(F.count_distinct("model").alias("n_models"))
     models = probs.select("volume_id", "model").distinct()
-    every = probs.agg(F.count_distinct("model").alias("n_models"))
     common = (
         models.groupBy("volume_id").agg(F.count(F.lit(1)).alias("n"))
         .join(every, F.col("n") == F.col("n_models"))

@@ -8,7 +8,7 @@ from tests.oracle import compare
 FOLDER = "/root/testdata/sf0.001"
 SAMPLE = [
     "apply_ignore", "surface_dice", "connected_components_26", "dilate", "patch_index", "class_stats", "intensity_histogram",
-    "augment_rot90", "ensemble", "missing_files", "scroll_summary", "aggregate_by_scroll", "worst_k", "metric_gate",
+    "augment_rot90", "normalize_zscore", "missing_files", "scroll_summary", "aggregate_by_scroll", "worst_k", "metric_gate",
     "kfold_split", "stratified_group_split", "fold_distribution", "plug_holes", "write_masks", "read_splits",
 ]
 
