@@ -129,10 +129,14 @@ def describe_fold(spark, folder):
     return splits.describe_fold(splits.group_holdout(c, ["7"]), c)
 
 
-_DIST = f"""{_STRAT}, n AS (SELECT scroll_id, CAST(val_fold AS INT) AS fold, count(*) AS n FROM v GROUP BY CUBE (1, 2))"""
+# Cells of scrolls that a fold does not hold are reported as 0.
+_DIST = f"""{_STRAT}, n AS (SELECT scroll_id, CAST(val_fold AS INT) AS fold, count(*) AS n FROM v GROUP BY CUBE (1, 2)),
+grid AS (SELECT DISTINCT scroll_id, f.fold FROM cases CROSS JOIN (SELECT CAST(UNNEST(range(5)) AS INT) AS fold) f),
+full_n AS (SELECT scroll_id, fold, coalesce(n, 0) AS n FROM grid LEFT JOIN n USING (scroll_id, fold)
+UNION ALL SELECT scroll_id, fold, n FROM n WHERE scroll_id IS NULL OR fold IS NULL)"""
 
 
-@query("fold_distribution", f"{_DIST} SELECT * FROM n")
+@query("fold_distribution", f"{_DIST} SELECT * FROM full_n")
 def fold_distribution(spark, folder):
     c = X.cases(spark, folder)
     return splits.fold_distribution(splits.stratified_group_split(c), c)
