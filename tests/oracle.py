@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -15,7 +16,7 @@ TABLES = (
 
 
 def engine(folder: str):
-    con = duckdb.connect()
+    con = duckdb.connect(config={"temp_directory": tempfile.mkdtemp(prefix="duckdb-")})
     for name in TABLES:
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{folder}/{name}.parquet'")
     return con
