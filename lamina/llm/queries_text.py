@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import pii
+from lamina.llm import pii, token_files
 from lamina.llm.common import table
 from lamina.llm.registry import query
+from lamina.session import shared_folder
 
 
 def _joined(spans):
@@ -29,3 +30,18 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", *counts, F.sha2(_joined(base), 256).alias("base_sha256"), _joined("spans").alias("spans")
     )
+
+
+#: Set this to use another copy of the tokenizer file.
+TOKENIZER = "byte_bpe_50k.json"
+END_ID = 2
+
+
+@query("op3_token_files")
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offsets, lengths and checksums of every document's ids, read back from the compressed files."""
+    import public_tokenizers
+
+    folder = shared_folder(spark, "token-files")
+    token_files.write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), END_ID)
+    return token_files.digest(token_files.read_files(spark, folder))
