@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import pii, token_files
+from lamina.llm import pii, token_files, toxicity
 from lamina.llm.common import table
 from lamina.llm.registry import query
 from lamina.session import shared_folder
@@ -45,3 +45,15 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "token-files")
     token_files.write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), END_ID)
     return token_files.digest(token_files.read_files(spark, folder))
+
+
+def _fold() -> F.Column:
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document; labels of every fifth (by checksum of the id) are never learned from."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), _fold() != 0))
+    return toxicity.score(docs, model).select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted")
