@@ -25,6 +25,7 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,50 +41,78 @@ CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 20
 PART_TOKENS = 1 << 24
 #: Words remembered per Python worker, to bound its memory.
-MEMO = 1_000_000
+MEMO = 600_000
 #: Marks the part of a text that no space precedes; a lone surrogate never occurs in a text.
 _FIRST = "\ud800"
 _INNER_SPACE = re.compile(r"(?<=\S) (?=\S)")
-_UNUSUAL = re.compile(r"\s\s|^\s|\s$")
+#: White space other than space and line feed.
+_RARE_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
+_MARKS = frozenset(".,;:!?")
 
 
-class WordEncoder:
+def _byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself if visible, else the next from 256 on."""
+    seen = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in seen]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(hidden)}
+
+
+class WordEncoder(dict):
     """Whole-text ids from a byte-level tokenizer, encoding every distinct word once.
 
     Such a tokenizer never lets a token cross the gap between a visible character and a single space
-    that a visible character follows; cutting there leaves the ids as they are.
+    that a visible character follows; cutting there leaves the ids as they are. The mapping holds the
+    ids of the words met so far, without the space before them.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def __missing__(self, word: str) -> bytes:
+        raw = word[1:] if word[:1] == _FIRST else " " + word
+        letters = raw.removeprefix(" ")
+        if letters.isalpha() and max(letters) < "\u0250":
+            # Letters alone are one piece for the tokenizer's model.
+            ids = [t.id for t in self.tokenizer.model.tokenize(raw.encode().decode("latin-1").translate(self.letters))]
+        elif letters[-1:] in _MARKS and letters[:-1].isalpha() and max(letters) < "\u0250":
+            # So is a single mark after letters.
+            out = self[word] = self[word[:-1]] + self[_FIRST + word[-1]]
+            return out
+        else:
+            ids = self.tokenizer.encode(raw, add_special_tokens=False).ids
+        out = self[word] = np.array(ids, self.width).tobytes()
+        return out
 
     def encode(self, texts: list[str], end_id: int) -> list[bytes]:
-        cut = []
+        if len(self) > MEMO:
+            self.clear()
+        end = np.array([end_id], self.width).tobytes()
+        look, out = self.__getitem__, []
         for text in texts:
-            parts = _INNER_SPACE.split(text) if _UNUSUAL.search(text) else text.split(" ")
+            odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE_SPACE.search(text)
+            parts = _INNER_SPACE.split(text) if odd else text.split(" ")
             parts[0] = _FIRST + parts[0]
-            cut.append(parts)
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        missing = list(set().union(*cut).difference(self.memo)) if cut else []
-        raw = [w[1:] if w[:1] == _FIRST else " " + w for w in missing]
-        for word, code in zip(missing, self.tokenizer.encode_batch(raw, add_special_tokens=False)):
-            self.memo[word] = np.array(code.ids, self.width).tobytes()
-        end = np.array([end_id], self.width).tobytes()
-        look = self.memo.__getitem__
-        return [b"".join(map(look, parts)) + end for parts in cut]
+            out.append(b"".join(map(look, parts)) + end)
+        return out
+
+
+@cache
+def _encoder(path: str) -> WordEncoder:
+    """One encoder a Python worker, which serves many tasks."""
+    return WordEncoder(path)
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """(doc_id, ids): the ids of every text, little-endian, ``end_id`` last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer)
+        encoder = _encoder(tokenizer)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo in range(0, len(texts), 256):
@@ -261,7 +290,7 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
 def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
     """Encode all documents and write them to ``folder`` in ascending ``doc_id`` order."""
     spark = docs.sparkSession
-    width = WordEncoder(tokenizer).width.str
+    width = _encoder(tokenizer).width.str
     encoded = keep(encode_documents(docs, tokenizer, end_id), "token-ids", compression="zstd")
     counts = count_ids(encoded, width).toPandas()  # one row per used id at most
     table = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
