@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import pii, token_files, toxicity
+from lamina.llm import pieces, pii, token_files, toxicity
 from lamina.llm.common import table
 from lamina.llm.registry import query
 from lamina.session import shared_folder
@@ -57,3 +57,18 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(toxicity.training_rows(docs, table(spark, sf_dir, "labels"), _fold() != 0))
     return toxicity.score(docs, model).select("doc_id", (_fold() == 0).alias("held_out"), "score", "predicted")
+
+
+PIECES = "piece_bpe_32k.model"
+
+
+@query("op9_pieces")
+def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of every document's piece ids, and whether decoding them gives the text back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path(PIECES)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    read_back = pieces.decode(pieces.encode(docs, path), path)
+    return read_back.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"),
+                            F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
