@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, fuzzy_lines
+from lamina.llm import decontaminate, fuzzy_lines, probminhash
 from lamina.llm.common import table
 from lamina.llm.registry import query
 
@@ -21,3 +21,9 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document, how many repeat an earlier one, and a checksum of what stays."""
     out = fuzzy_lines.drop_repeated(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+
+
+@query("op4_near_dedup")
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest id of its group of near and exact copies."""
+    return probminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
