@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import decontaminate, fuzzy_lines, probminhash
+from lamina.llm import decontaminate, fuzzy_lines, probminhash, repeats
 from lamina.llm.common import table
 from lamina.llm.registry import query
 
@@ -27,3 +27,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the smallest id of its group of near and exact copies."""
     return probminhash.classes(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "class_id")
+
+
+@query("op10_repeats")
+def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of every document once byte strings that occur earlier are removed."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
