@@ -35,8 +35,8 @@ from lamina.llm.common import keep, small_side
 
 LENGTH = 100
 GRAM = 32
-CHUNK_BYTES = 2 << 20
-RUN_BLOCKS = 100_000
+CHUNK_BYTES = 512 << 10
+RUN_BLOCKS = 30_000
 PART_BLOCKS = 200_000
 RESULT = ("n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 _BASE = 0x9E3779B97F4A7C15
