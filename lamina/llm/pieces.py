@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words in the dictionary that the lattice encodes, by falling frequency.
-DICTIONARY = 200_000
+DICTIONARY = 50_000
 #: Dictionary words fit the bits of a long.
 MAX_WORD = 60
 MEMO = 300_000
