@@ -41,7 +41,8 @@ def to_runs(
     placed = _by_tile(mask.select(*keys, "z", "y", "x"), keys, tile, group)
     line = W.partitionBy(*keys, "tz", "ty", "z", "y").orderBy("x")
     return (
-        placed.withColumn("island", F.col("x") - F.row_number().over(line))
+        # A voxel that is listed twice has one rank, so it neither splits nor lengthens an interval.
+        placed.withColumn("island", F.col("x") - F.dense_rank().over(line))
         .groupBy(*keys, "tz", "ty", "z", "y", "island")
         .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
         .drop("island")
@@ -112,16 +113,20 @@ def _tile_labels(reach, inner):
         order = np.lexsort((lo, y, z, code))
         runs = runs.iloc[order]
         code, z, y, lo, hi = (v[order] for v in (code, z, y, lo, hi))
-        # One number per (mask, line), padded so that a step never lands on a foreign line.
-        rows, planes = y.max() + 3, z.max() + 3
-        line = (code * planes + z) * rows + y + 1
-        band = hi.max() + 3
-        starts, ends = line * band + lo + 1, line * band + hi + 1
+        # One number per (mask, line), padded so that a step never lands on a foreign line. Places count
+        # from the corner of the tile's runs: however far out a tile lies, the numbers stay small.
+        tz, ty, shift = z - z.min(), y - y.min(), lo.min()
+        rows, planes = int(ty.max()) + 3, int(tz.max()) + 3
+        line = (code * planes + tz) * rows + ty + 1
+        band = int(hi.max() - shift) + 3
+        if (int(line.max()) + 2 * rows) * band >= 1 << 62:
+            raise OverflowError("too many masks share a tile: pass more of the keys as group")
+        starts, ends = line * band + lo - shift + 1, line * band + hi - shift + 1
         left, right = [], []
         for dz, dy, slack in reach:
             base = (line + dz * rows + dy) * band + 1
-            first = np.searchsorted(ends, base + lo - slack, "left")
-            last = np.searchsorted(starts, base + hi + slack, "right")
+            first = np.searchsorted(ends, base + lo - shift - slack, "left")
+            last = np.searchsorted(starts, base + hi - shift + slack, "right")
             count = np.maximum(last - first, 0)
             a = np.repeat(np.arange(len(line)), count)
             step = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count)
@@ -167,9 +172,6 @@ def label_runs(
             _tile_labels(reach, [k for k in keys if k not in group]), schema
         )
     )
-    size = local.agg(F.max("z").alias("z"), F.max("y").alias("y")).first()
-    if size.z is None or (size.z < tile and size.y < tile):
-        return local
     merged = merge_nodes(_face_edges(local, reach, keys, tile), keys)
     if merged is None:
         return local

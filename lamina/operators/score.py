@@ -264,15 +264,26 @@ def confusion_dice(predicted: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def skeleton_recall(probs: DataFrame, skeleton: DataFrame, labels: DataFrame, smooth: float = 1.0) -> DataFrame:
-    """Soft recall of skeleton voxels by the stored surface probability ``prob``."""
+def skeleton_recall(
+    probs: DataFrame, skeleton: DataFrame, labels: DataFrame, smooth: float = 1.0, volumes: DataFrame | None = None
+) -> DataFrame:
+    """Soft recall of skeleton voxels by the stored surface probability ``prob``.
+
+    With ``volumes`` every volume gets a row; one without skeleton has nothing to miss and recall 1.
+    """
     valid = apply_ignore(skeleton.select(*M.VOXEL), labels.filter(F.col("label") == M.IGNORE))
     hit = valid.join(probs.select(*M.VOXEL, "prob"), M.VOXEL, "left")
     n = F.count(F.lit(1))
-    return hit.groupBy(*KEY).agg(
+    found = hit.groupBy(*KEY).agg(
         n.alias("n_skeleton"),
         ((F.sum(F.coalesce("prob", F.lit(0.0))) + smooth) / (n + smooth)).alias("skeleton_recall"),
     )
+    if volumes is None:
+        return found
+    return volumes.select(*KEY).join(found, KEY, "left").select(
+        *KEY, F.coalesce("n_skeleton", F.lit(0).cast("long")).alias("n_skeleton"),
+        F.coalesce("skeleton_recall", F.lit(1.0)).alias("skeleton_recall"),
+    )
 
 
 def affinity_agreement(
@@ -280,8 +291,7 @@ def affinity_agreement(
 ) -> DataFrame:
     """Per offset: valid pairs, mean logistic loss and soft Dice of stored affinity logits.
 
-    A pair without a stored logit counts as logit 0. The two summary columns are the
-    means the combined measure uses: loss over all valid pairs and Dice over offsets.
+    A pair without a stored logit counts as logit 0; :func:`affinity_summary` combines the offsets.
     """
     pair = [*M.VOXEL, "oz", "oy", "ox"]
     joined = targets.filter("affinity >= 0").join(logits.select(*pair, "logit"), pair, "left")
@@ -296,6 +306,15 @@ def affinity_agreement(
     )
 
 
+def affinity_summary(agreement: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+    """The combined measure: loss over all valid pairs, Dice over offsets, and half of each with Dice as a loss."""
+    bce = F.sum(F.col("bce") * F.col("n_valid")) / F.sum("n_valid")
+    dice = F.avg("soft_dice")
+    return agreement.groupBy(*keys).agg(
+        bce.alias("bce"), dice.alias("soft_dice"), (0.5 * bce + 0.5 * (1 - dice)).alias("combined")
+    )
+
+
 def score_cases(
     predictions: DataFrame, labels: DataFrame, volumes: DataFrame, pairs: DataFrame, scrolls: DataFrame | None = None
 ) -> DataFrame:

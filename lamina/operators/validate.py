@@ -105,7 +105,15 @@ def sparse_labels(inventory: DataFrame, least: float = 0.01) -> DataFrame:
 
 
 def validation_findings(*checks: DataFrame) -> DataFrame:
-    return reduce(DataFrame.unionByName, checks)
+    """Findings of checks given in the order in which they look at a volume.
+
+    A volume is done at its first error: what later checks say about it is left out.
+    """
+    columns = checks[0].columns
+    placed = reduce(DataFrame.unionByName, [c.withColumn("_check", F.lit(k)) for k, c in enumerate(checks)])
+    failed = placed.filter("severity = 'error'").groupBy("volume_id").agg(F.min("_check").alias("_failed"))
+    kept = placed.join(failed, "volume_id", "left").filter("_failed IS NULL OR _check <= _failed")
+    return kept.select(*columns)
 
 
 def validation_report(findings: DataFrame) -> DataFrame:

@@ -142,10 +142,10 @@ def export_dataset(spark, folder):
 @query(
     "submission_check",
     f"""{VOX}, p AS (SELECT volume_id, max(z) + 1 = 24 AND max(y) + 1 = 24 AND max(x) + 1 = 24 AS shape_ok, true AS dtype_ok
-FROM vox WHERE prob >= 0.9 GROUP BY 1) SELECT *, (SELECT bool_and(shape_ok AND dtype_ok) FROM p) AS all_ok FROM p""",
+FROM vox GROUP BY 1) SELECT *, (SELECT bool_and(shape_ok AND dtype_ok) FROM p) AS all_ok FROM p""",
 )
 def submission_check(spark, folder):
-    shapes = G.probe_volumes(X.voxels(spark, folder).filter("prob >= 0.9")).withColumn("dtype", F.lit("uint8"))
+    shapes = G.probe_volumes(X.voxels(spark, folder)).withColumn("dtype", F.lit("uint8"))
     return G.submission_check(shapes, X.volumes(spark, folder))
 
 
@@ -163,7 +163,7 @@ _SHAPES = """SELECT 'error' AS severity, volume_id, 'shape mismatch: image ' ||
  concat_ws('x', max(z) FILTER (label = 1) + 1, max(y) FILTER (label = 1) + 1, max(x) FILTER (label = 1 AND prob > 0.8 AND z = 0) + 1) AS b
  FROM vox GROUP BY 1) WHERE a <> b"""
 _ILLEGAL = """SELECT 'error' AS severity, volume_id, 'illegal label values: ' || string_agg(DISTINCT k, ', ' ORDER BY k) AS message
-FROM (SELECT volume_id, CAST(CASE WHEN prob > 0.95 AND z < 6 THEN 3 + y % 3 ELSE label END AS INT) AS k FROM vox WHERE intensity > 90000)
+FROM (SELECT volume_id, CAST(CASE WHEN prob > 0.95 AND z < 6 THEN 3 + y % 3 ELSE label END AS INT) AS k FROM vox)
 WHERE k NOT IN (0, 1, 2) GROUP BY 2"""
 _INVENTORY = """inv AS MATERIALIZED (SELECT volume_id, v.scroll_id, v.d, v.h, v.w, v.dtype, v.image_bytes,
  CAST(count(*) FILTER (label = 0) AS DOUBLE) / count(*) AS frac_background,
@@ -186,7 +186,7 @@ def _shape_sides(spark, folder):
 
 def _with_illegal(spark, folder):
     changed = F.when((F.col("prob") > 0.95) & (F.col("z") < 6), 3 + F.col("y") % 3).otherwise(F.col("label"))
-    return X.voxels(spark, folder).filter("intensity > 90000").withColumn("label", changed.cast("int"))
+    return X.voxels(spark, folder).withColumn("label", changed.cast("int"))
 
 
 @query("orphan_files", f"{CATALOG} {_ORPHANS}")
@@ -218,8 +218,12 @@ def label_inventory(spark, folder):
 
 @query(
     "validation_report",
-    f"""{DENSE}, {X.CATALOG_SQL}, {_INVENTORY}, found AS ({_ORPHANS} UNION ALL {_MISSING} UNION ALL {_SHAPES} UNION ALL {_ILLEGAL}
-UNION ALL SELECT 'warning', volume_id, 'very few labeled voxels' FROM inv WHERE frac_labeled < 0.01)
+    f"""{DENSE}, {X.CATALOG_SQL}, {_INVENTORY}, missing AS ({_MISSING}), shapes AS ({_SHAPES}), illegal AS ({_ILLEGAL}),
+lost AS (SELECT volume_id FROM missing WHERE severity = 'error'), misfit AS (FROM shapes ANTI JOIN lost USING (volume_id)),
+found AS ({_ORPHANS} UNION ALL FROM missing UNION ALL FROM misfit
+UNION ALL SELECT severity, volume_id, message FROM illegal ANTI JOIN lost USING (volume_id) ANTI JOIN misfit USING (volume_id)
+UNION ALL SELECT 'warning', volume_id, 'very few labeled voxels' FROM inv WHERE frac_labeled < 0.01
+ AND volume_id NOT IN (SELECT volume_id FROM lost UNION SELECT volume_id FROM misfit UNION SELECT volume_id FROM illegal))
 SELECT count(*) FILTER (severity = 'error') AS n_errors, count(*) FILTER (severity = 'warning') AS n_warnings,
  count(*) FILTER (severity = 'error') = 0 AS ok FROM found""",
 )

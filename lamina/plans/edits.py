@@ -178,12 +178,12 @@ def _tangent_sql(name: str, points: str, radius: int) -> str:
 
 @query(
     "local_tangent",
-    f"""{TRUTH_CC}, points AS (FROM part WHERE (z + y + x) % 5 = 0), {_tangent_sql('t', 'points', 3)}
+    f"""{TRUTH_CC}, {_tangent_sql('t', 'part', 3)}
 SELECT volume_id, CAST(component AS BIGINT) AS component, z, y, x, round(tz, 6) AS tz, round(ty, 6) AS ty, round(tx, 6) AS tx FROM t""",
 )
 def local_tangent(spark, folder):
     parts = C.from_runs(_runs(spark, folder), keys=PART)
-    out = bridge.local_tangent(parts.filter("(z + y + x) % 5 = 0"), parts, 3.0)
+    out = bridge.local_tangent(parts, parts, 3.0)
     return out.select(*PART, "z", "y", "x", *[F.round(c, 6).alias(c) for c in ("tz", "ty", "tx")])
 
 
@@ -198,10 +198,10 @@ _SEGMENTS = "volume_id, z AS a_z, y AS a_y, x AS a_x, (z * 5 + 3) % 24 AS b_z, (
 
 @query(
     "rasterize_segments",
-    f"""{MASKS}, seg AS (SELECT {_SEGMENTS} FROM vox WHERE label = 1 AND intensity > 80000), {_line_sql('line', 'seg')}, {dilate_sql('tube', 'line', 1)} SELECT * FROM tube""",
+    f"""{MASKS}, seg AS (SELECT {_SEGMENTS} FROM vox WHERE label = 1), {_line_sql('line', 'seg')}, {dilate_sql('tube', 'line', 1)} SELECT * FROM tube""",
 )
 def rasterize(spark, folder):
-    segments = X.voxels(spark, folder).filter("label = 1 AND intensity > 80000").selectExpr(*_SEGMENTS.split(", "))
+    segments = X.voxels(spark, folder).filter("label = 1").selectExpr(*_SEGMENTS.split(", "))
     return bridge.rasterize_segments(segments, X.volumes(spark, folder), 1)
 
 

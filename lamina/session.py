@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -19,6 +20,7 @@ def local_session(cores: str | int = "*", app: str = "lamina", **conf: str) -> S
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
         .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
+        .config("spark.checkpoint.dir", os.environ.get("LAMINA_SHARED") or tempfile.mkdtemp(prefix="lamina-"))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -28,15 +30,16 @@ def local_session(cores: str | int = "*", app: str = "lamina", **conf: str) -> S
 def settle(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
 
-    The folder comes from ``spark.checkpoint.dir``. Only a local session, which has
-    no other machine to share with, may fall back to a temporary folder.
+    The folder comes from ``spark.checkpoint.dir``. Only a session within one process, which
+    has no other machine to share with, may fall back to a temporary folder.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not context.master.startswith("local"):
+            # local-cluster starts executors of their own, so it is no exception.
+            if context.master != "local" and not context.master.startswith("local["):
                 raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
             folder = tempfile.mkdtemp(prefix="lamina-")
         context.setCheckpointDir(folder)

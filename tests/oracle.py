@@ -25,7 +25,7 @@ def engine(folder: str):
 _KINDS = {
     "string": "VARCHAR", "int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE",
     "boolean": "BOOLEAN", "float": "FLOAT", "array<int>": "INTEGER[]", "array<string>": "VARCHAR[]",
-    "array<double>": "DOUBLE[]",
+    "array<double>": "DOUBLE[]", "date": "DATE",
 }
 
 
