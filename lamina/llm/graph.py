@@ -26,10 +26,9 @@ def groups(edges: DataFrame) -> DataFrame:
         best = linked.groupBy("root").agg(F.min("near").alias("best"))
         moved = linked.join(best, "root").select("id", F.least("near", "best").alias("root"), F.col("root").alias("old"))
         # Follow the new root one step on.
-        step = keep(moved, "moved")
+        step = moved
         after = step.select(F.col("id").alias("root"), F.col("root").alias("top"))
         jumped = keep(step.join(after, "root", "left").select("id", F.coalesce("top", "root").alias("root"), "old"), "roots")
-        forget(step)
         changed = jumped.where(F.col("root") != F.col("old")).limit(1).count()
         forget(roots)
         roots = jumped.select("id", "root")
