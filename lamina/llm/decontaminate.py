@@ -39,6 +39,8 @@ _WORD = r"(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}][\p{L}\p{N}]*+|[\p{N}]++)"
 _RAW = r"[^\p{L}\p{N}]*+(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}][\p{L}\p{N}]*+|[\p{N}]++)"
 
 
+#: Longest list of anchors that is written into the plan.
+SHORT_LIST = 20_000
 _SEPARATORS = r"^[^\p{L}\p{N}]++"
 
 
@@ -105,23 +107,33 @@ def _found(docs: DataFrame, known: DataFrame) -> DataFrame:
     lengths = known.select("anchor", "length").distinct()
     hits = (placed.withColumn("anchor", F.lower(F.regexp_replace("token", _SEPARATORS, ""))).drop("token")
             .join(small_side(lengths, n_known, 64), "anchor"))
-    # Every window of that length around the anchor.
+    # Every window of that length around the anchor; from here on a row holds these tokens only, not the text's.
     first = F.greatest(F.lit(0), F.col("pos") - F.col("length") + 1)
     last = F.least(F.col("pos"), F.size("raw") - F.col("length"))
-    starts = hits.where(first <= last).withColumn("start", F.explode(F.sequence(first, last)))
-    windows = starts.withColumn("met", tokens(F.slice("raw", F.col("start") + 1, F.col("length")), F.col("start"))).select(
+    near = hits.select("doc_id", "length", first.alias("first"), last.alias("last"), F.slice("raw", first + 1, F.col("length") * 2 - 1).alias("near"))
+    starts = near.where("first <= last").withColumn("start", F.explode(F.sequence("first", "last")))
+    window = F.slice("near", F.col("start") - F.col("first") + 1, F.col("length"))
+    windows = starts.withColumn("met", tokens(window, F.col("start"))).select(
         "doc_id", "start", "met", F.xxhash64(_template(F.col("met"))).alias("code"))
     return windows.join(small_side(known, n_known, 1024), "code").where(F.col("template") == _template(F.col("met")))
 
 
 def _candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Ids of the documents that hold the anchor and all literal words of one of the best-anchored windows."""
+    """Ids of the documents that hold the anchor and all literal words of one of the best-anchored windows.
+
+    With more than ``SHORT_LIST`` anchors the literal words are not looked at: more candidates, the same result."""
     best = known.where(F.col("place") <= F.col("n_windows") - needed(F.col("n_windows")) + 1)
     literals = F.array_distinct(F.transform(F.filter("window", lambda t: ~t["canon"].startswith("<")), lambda t: t["canon"]))
     asked = best.groupBy("anchor").agg(F.collect_set(literals).alias("asked"))
     source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text"))
-    words = source.select("doc_id", "text", F.explode(F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))).alias("anchor"))
-    hits = words.join(small_side(asked, known.count(), 1024), "anchor")
+    n_known, n_asked = known.count(), asked.count()
+    words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
+    if n_asked > SHORT_LIST:
+        return source.select("doc_id", F.explode(words).alias("anchor")).join(asked, "anchor", "left_semi").select("doc_id").distinct()
+    # Each anchor of a text once, so that a long text is repeated for few rows only.
+    short = F.array(*[F.lit(r["anchor"]) for r in asked.select("anchor").collect()]).cast("array<string>")
+    present = source.select("doc_id", "text", F.explode(F.array_intersect(words, short)).alias("anchor"))
+    hits = present.join(small_side(asked, n_known, 1024), "anchor")
     whole = F.exists("asked", lambda window: F.forall(window, lambda word: F.contains(F.col("text"), word)))
     return hits.where(whole).select("doc_id").distinct()
 
