@@ -142,6 +142,61 @@ def test_simhash_and_pairs_against_brute_force(spark):
     assert parts(links) == parts(expected)
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_line_recall_against_brute_force_edits(spark):
+    rng = random.Random(12)
+    syllables = ["an", "ter", "mo", "li", "sen", "ka", "ru", "best", "ion", "dra"]
+    word = lambda: "".join(rng.choice(syllables) for _ in range(rng.randint(1, 4)))
+
+    def changed(line, kind):
+        words = line.split(" ")
+        if kind == 0:
+            words[rng.randrange(len(words))] = word()
+        elif kind == 1:
+            k = rng.randrange(len(line))
+            return line[:k] + rng.choice(["x", "", line[k] + "z"]) + line[k + 1:]
+        elif kind == 2:
+            for _ in range(2):
+                words[rng.randrange(len(words))] = word()
+        else:
+            letters = list(line)
+            for _ in range(len(line) // 12):
+                letters[rng.randrange(len(letters))] = rng.choice("xyz")
+            return "".join(letters)
+        return " ".join(words)
+
+    families = [[base, *(changed(base, kind) for kind in (0, 1, 2, 3))] for n in [5, 5, 5, 6, 6, 7, *range(5, 31), *range(8, 31)]
+                for base in [" ".join(word() for _ in range(n))]]
+    lines = [[fuzzy_lines_norm(line) for line in family] for family in families]
+    rows, short, long = [], set(), set()
+    for f, family in enumerate(lines):
+        for k, line in enumerate(family):
+            rows.append((10 * f + k, line))
+            near = [j for j in range(k) if family[j] != line and
+                    10 * _distance(family[j], line) < max(len(family[j]), len(line))]
+            if near:
+                (short if len(line) <= 55 else long).add(10 * f + k)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in fuzzy_lines.repeated(docs).collect()}
+    assert len(short) > 10 and len(long) > 100
+    # Short lines are complete; of the longer ones a few with edits in nearly every piece may be missed.
+    assert short <= got
+    assert len(long & got) / len(long) >= 0.97
+
+
+def fuzzy_lines_norm(line):
+    return re.sub(r"[^a-z]+", " ", line).strip()
+
+
 def _naive(a, b):
     union = sorted(set(a) | set(b))
     x, y = np.array([a.get(e, 0) for e in union], float), np.array([b.get(e, 0) for e in union], float)
