@@ -43,7 +43,7 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = shared_folder(spark, "token-files")
-    token_files.write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), END_ID)
+    token_files.write_files(table(spark, sf_dir, "documents"), folder, public_tokenizers.path(TOKENIZER), END_ID, special=True)
     return token_files.digest(token_files.read_files(spark, folder))
 
 

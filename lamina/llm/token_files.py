@@ -62,15 +62,18 @@ class WordEncoder(dict):
 
     Such a tokenizer never lets a token cross the gap between a visible character and a single space
     that a visible character follows; cutting there leaves the ids as they are. The mapping holds the
-    ids of the words met so far, without the space before them.
+    ids of the words met so far, without the space before them. With ``special`` the names of special
+    tokens stand for those tokens, as in the library's plain ``encode``; else they are letters like others.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special: bool = False):
         from tokenizers import Tokenizer
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not special
+        names = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()] if special else []
+        self.special = re.compile("|".join(names)) if names else None
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.letters = _byte_letters()
 
@@ -95,6 +98,10 @@ class WordEncoder(dict):
         end = np.array([end_id], self.width).tobytes()
         look, out = self.__getitem__, []
         for text in texts:
+            if self.special and self.special.search(text):
+                # The names are found before words are; the text goes through the tokenizer as a whole.
+                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes() + end)
+                continue
             odd = "  " in text or " \n" in text or "\n " in text or text[:1] == " " or text[-1:] == " " or _RARE_SPACE.search(text)
             parts = _INNER_SPACE.split(text) if odd else text.split(" ")
             parts[0] = _FIRST + parts[0]
@@ -103,16 +110,16 @@ class WordEncoder(dict):
 
 
 @cache
-def _encoder(path: str) -> WordEncoder:
+def _encoder(path: str, special: bool = False) -> WordEncoder:
     """One encoder a Python worker, which serves many tasks."""
-    return WordEncoder(path)
+    return WordEncoder(path, special)
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): the ids of every text, little-endian, ``end_id`` last."""
+def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, special: bool = False) -> DataFrame:
+    """(doc_id, ids): the ids of every text, little-endian, ``end_id`` last; ``special`` as in :class:`WordEncoder`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(tokenizer)
+        encoder = _encoder(tokenizer, special)
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for lo in range(0, len(texts), 256):
@@ -287,11 +294,13 @@ def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return docs, payload, checks + np.repeat(docs["at"].astype(np.int64) * 8, runs), counts
 
 
-def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> None:
-    """Encode all documents and write them to ``folder`` in ascending ``doc_id`` order."""
+def write_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int, special: bool = False) -> None:
+    """Encode all documents and write them to ``folder`` in ascending ``doc_id`` order.
+
+    ``special``: whether names of special tokens in a text become those tokens."""
     spark = docs.sparkSession
     width = _encoder(tokenizer).width.str
-    encoded = keep(encode_documents(docs, tokenizer, end_id), "token-ids", compression="zstd")
+    encoded = keep(encode_documents(docs, tokenizer, end_id, special), "token-ids", compression="zstd")
     counts = count_ids(encoded, width).toPandas()  # one row per used id at most
     table = np.zeros(int(counts["id"].max()) + 1 if len(counts) else 1, np.int64)
     table[counts["id"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)

@@ -77,6 +77,21 @@ def test_token_files_round_trip(spark):
     assert got == sorted(expected)
 
 
+def test_token_query_equals_the_untouched_tokenizer(spark, tmp_path):
+    from lamina.llm import queries_text
+
+    texts = ["end <|endoftext|> more", "<|endoftext|>", "a<|endoftext|><|endoftext|>  b\n", "it's plain", "<|endoftext |>", None, "last one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    expected, before = [], 0
+    for doc_id, text in enumerate(texts):
+        ids = [*whole.encode(text or "", add_special_tokens=False).ids, queries_text.END_ID]
+        expected.append((doc_id, before, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
+        before += len(ids)
+    got = [tuple(r) for r in queries_text.op3_token_files(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    assert got == expected
+
+
 def test_token_files_empty_table(spark):
     folder = shared_folder(spark, "tokens")
     token_files.write_files(spark.createDataFrame([], "doc_id long, text string"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2)
