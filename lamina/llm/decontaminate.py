@@ -10,7 +10,8 @@ any ``W - m + 1`` of the item's ``W`` windows: a first pass looks for the best-a
 candidate documents, a second one matches all windows in those. Only hits are shuffled, never texts.
 
 Defined cases: null or empty texts and items match nothing; an item shorter than a window is one window of its
-own length; items without a literal word match nothing; equal windows of several items match each of them;
+own length; a window without a literal word is left out, but an item that has no literal word at all matches by its
+values verbatim; equal windows of several items match each of them;
 rows repeated with one ``doc_id`` count as one document; other columns are ignored by :func:`matches` and kept
 by :func:`clean`, which also keeps rows whose ``doc_id`` is null.
 """
@@ -23,8 +24,6 @@ from pyspark.sql import functions as F
 from lamina.llm.common import keep, small_side
 
 WINDOW = 8
-#: Literal words a window of full length needs; shorter windows need the same share.
-LITERALS = 5
 #: A document is contaminated by an item with this share of its windows, or this many of them.
 SHARE = 0.5
 ENOUGH = 6
@@ -35,6 +34,8 @@ UNITS = (
     "week weeks month months year years percent eur euro euros usd dollar dollars cent cents km/h mph kmh celsius "
     "grad stunde stunden minuten tage jahre heure heures jours ans hora horas días años"
 ).split()
+#: Units only right after a number: words of their own otherwise.
+SHORT_UNITS = ("in", "m", "g", "t", "l", "s", "h")
 _WORD = r"(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}][\p{L}\p{N}]*+|[\p{N}]++)"
 _RAW = r"[^\p{L}\p{N}]*+(?:[0-9]++(?:[.,][0-9]++)*+|[\p{L}][\p{L}\p{N}]*+|[\p{N}]++)"
 
@@ -52,12 +53,14 @@ def raw_tokens(text: Column) -> Column:
 def tokens(raw: Column, first: Column) -> Column:
     """array of (canon, value): a placeholder and what it stands for, or a lower-case word and an empty value.
 
-    ``first`` is the place of the first raw token in its text; the text's first word opens a sentence."""
+    ``first`` is the place of the first raw token in its text; the text's first word opens a sentence. Whether a
+    short word is a unit depends on the token before, so the first token of a slice is only right at a text's start."""
     def one(token, i):
         word = F.regexp_replace(token, _SEPARATORS, "")
+        measured = token.rlike(r"^[\s\u00a0-]*\p{L}") & F.coalesce(F.get(raw, i - 1).rlike("[0-9]$"), F.lit(False))
         opens = (first + i == 0) | token.rlike(r"^[^\p{L}\p{N}]*?[.!?:\n]")
         canon = (F.when(word.rlike("^[0-9]"), "<number>")
-                 .when(F.lower(word).isin(*UNITS), "<unit>")
+                 .when(F.lower(word).isin(*UNITS) & (~F.lower(word).isin(*SHORT_UNITS) | measured), "<unit>")
                  .when(word.rlike(r"^\p{Lu}\p{Ll}") & ~opens, "<name>")
                  .otherwise(F.lower(word)))
         return F.struct(canon.alias("canon"), F.when(canon.startswith("<"), F.lower(word)).otherwise("").alias("value"))
@@ -65,26 +68,35 @@ def tokens(raw: Column, first: Column) -> Column:
     return F.transform(raw, one)
 
 
+def _literals(window: Column) -> Column:
+    return F.filter(window, lambda t: ~t["canon"].startswith("<"))
+
+
 def _template(window: Column) -> Column:
-    return F.array_join(F.transform(window, lambda t: t["canon"]), " ")
+    """What equal windows have in common: placeholders and words, or the values where there is no word."""
+    return F.when(F.size(_literals(window)) > 0, F.array_join(F.transform(window, lambda t: t["canon"]), " ")).otherwise(
+        F.concat(F.lit("= "), F.array_join(F.transform(window, lambda t: t["value"]), " ")))
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, at, length, template, code, window, anchor, n_windows, place) for every window that can match.
+    """(item_id, at, length, template, code, window, words, anchor, n_windows, place) for every window that can match.
 
-    ``place`` numbers the windows of an item from the best anchor on."""
-    taken = items.select("item_id", tokens(raw_tokens(F.col("text")), F.lit(0)).alias("tokens")).where(F.size("tokens") > 0)
+    ``words`` must all stand in a document that matches, ``anchor`` is one of them. ``place`` numbers the windows of
+    an item from the best anchor on."""
+    raw = items.select("item_id", raw_tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
+    taken = raw.select("item_id", tokens(F.col("raw"), F.lit(0)).alias("tokens"))
+    taken = taken.withColumn("worded", F.size(_literals(F.col("tokens"))) > 0)
     n = F.size("tokens")
     length = F.least(n, F.lit(WINDOW))
     spread = taken.withColumn("length", length).withColumn("at", F.explode(F.sequence(F.lit(0), n - length)))
     cut = spread.withColumn("window", F.slice("tokens", F.col("at") + 1, F.col("length"))).drop("tokens")
-    literal = F.filter("window", lambda t: ~t["canon"].startswith("<"))
-    cut = cut.where(F.size(literal) >= F.ceil(F.col("length") * LITERALS / WINDOW))
-    cut = cut.withColumn("template", _template(F.col("window"))).withColumn("code", F.xxhash64("template"))
+    literal = _literals(F.col("window"))
+    cut = cut.where((F.size(literal) > 0) | ~F.col("worded")).withColumn("words", F.array_distinct(
+        F.when(F.col("worded"), F.transform(literal, lambda t: t["canon"])).otherwise(F.transform("window", lambda t: t["value"]))))
+    cut = cut.drop("worded").withColumn("template", _template(F.col("window"))).withColumn("code", F.xxhash64("template"))
     # The anchor is the word that fewest items hold, the longer of equally rare ones.
-    held = cut.select("item_id", F.explode(F.array_distinct(F.transform(literal, lambda t: t["canon"]))).alias("word"))
-    rarity = held.groupBy("word").agg(F.countDistinct("item_id").alias("items"))
-    words = cut.select("item_id", "at", F.explode(F.transform(literal, lambda t: t["canon"])).alias("word"))
+    words = cut.select("item_id", "at", F.explode("words").alias("word"))
+    rarity = words.groupBy("word").agg(F.countDistinct("item_id").alias("items"))
     ranked = words.join(rarity, "word").groupBy("item_id", "at").agg(
         F.min(F.struct("items", (-F.length("word")).alias("short"), "word")).alias("best"))
     item = Window.partitionBy("item_id")
@@ -107,24 +119,26 @@ def _found(docs: DataFrame, known: DataFrame) -> DataFrame:
     lengths = known.select("anchor", "length").distinct()
     hits = (placed.withColumn("anchor", F.lower(F.regexp_replace("token", _SEPARATORS, ""))).drop("token")
             .join(small_side(lengths, n_known, 64), "anchor"))
-    # Every window of that length around the anchor; from here on a row holds these tokens only, not the text's.
+    # Every window of that length around the anchor and the token before; from here on a row holds these tokens only,
+    # not the text's.
     first = F.greatest(F.lit(0), F.col("pos") - F.col("length") + 1)
     last = F.least(F.col("pos"), F.size("raw") - F.col("length"))
-    near = hits.select("doc_id", "length", first.alias("first"), last.alias("last"), F.slice("raw", first + 1, F.col("length") * 2 - 1).alias("near"))
-    starts = near.where("first <= last").withColumn("start", F.explode(F.sequence("first", "last")))
-    window = F.slice("near", F.col("start") - F.col("first") + 1, F.col("length"))
-    windows = starts.withColumn("met", tokens(window, F.col("start"))).select(
-        "doc_id", "start", "met", F.xxhash64(_template(F.col("met"))).alias("code"))
+    begin = F.greatest(F.lit(0), first - 1)
+    near = hits.select("doc_id", "length", first.alias("first"), last.alias("last"), begin.alias("begin"),
+                       F.slice("raw", begin + 1, F.col("length") * 2).alias("near")).where("first <= last")
+    read = near.select("doc_id", "length", "first", "last", "begin", tokens(F.col("near"), F.col("begin")).alias("near"))
+    starts = read.withColumn("start", F.explode(F.sequence("first", "last")))
+    windows = starts.select("doc_id", "start", F.slice("near", F.col("start") - F.col("begin") + 1, F.col("length")).alias("met"))
+    windows = windows.withColumn("code", F.xxhash64(_template(F.col("met"))))
     return windows.join(small_side(known, n_known, 1024), "code").where(F.col("template") == _template(F.col("met")))
 
 
 def _candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Ids of the documents that hold the anchor and all literal words of one of the best-anchored windows.
+    """Ids of the documents that hold the anchor and all ``words`` of one of the best-anchored windows.
 
-    With more than ``SHORT_LIST`` anchors the literal words are not looked at: more candidates, the same result."""
+    With more than ``SHORT_LIST`` anchors the other words are not looked at: more candidates, the same result."""
     best = known.where(F.col("place") <= F.col("n_windows") - needed(F.col("n_windows")) + 1)
-    literals = F.array_distinct(F.transform(F.filter("window", lambda t: ~t["canon"].startswith("<")), lambda t: t["canon"]))
-    asked = best.groupBy("anchor").agg(F.collect_set(literals).alias("asked"))
+    asked = best.groupBy("anchor").agg(F.collect_set("words").alias("asked"))
     source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text"))
     n_known, n_asked = known.count(), asked.count()
     words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))

@@ -279,6 +279,20 @@ def test_decontamination(spark):
     assert decontaminate.matches(docs, items.limit(0)).count() == 0 and decontaminate.matches(docs.limit(0), items).count() == 0
 
 
+def _found(spark, items, docs):
+    of = lambda texts, name: spark.createDataFrame(list(enumerate(texts, 1)), f"{name} long, text string")
+    return {(r.doc_id, r.item_id) for r in decontaminate.matches(of(docs, "doc_id"), of(items, "item_id")).collect()}
+
+
+def test_decontamination_of_numbers_and_units(spark):
+    items = ["A train travels 60 km in 2 hours and 90 km in 3 hours.", "Compute 12 + 34 - 5 * 6 + 7 / 8 for x = 3 and y = 4", "5 6 7 8 9 10 11 12 13"]
+    docs = [f"so it goes. {items[0]} Yes", "so it goes. A train travels 75 km in 4 hours and 80 km in 5 hours. Yes", f"see {items[1]} there",
+            "see Compute 21 + 43 - 9 * 1 + 2 / 3 for x = 8 and y = 6 there", f"list {items[2]} end", "list 6 7 8 9 10 11 12 13 14 end",
+            "A train travels far in 2 hours"]
+    assert _found(spark, items, docs) >= {(1, 1), (2, 1), (3, 2), (5, 3)}
+    assert not {d for d, i in _found(spark, items, docs) if d == 7}
+
+
 def _remove(rows):
     seen, out = set(), {}
     for doc_id, text in sorted({(d, t or "") for d, t in rows}):
