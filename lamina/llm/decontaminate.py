@@ -50,9 +50,11 @@ def raw_tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(_RAW), F.lit(0))
 
 
-def tokens(raw: Column, first: Column) -> Column:
-    """array of (canon, value): a placeholder and what it stands for, or a lower-case word and an empty value.
+def tokens(raw: Column, first: Column, item: bool = False) -> Column:
+    """array of (canon, value, other, word): a placeholder and what it stands for, or a lower-case word and an empty value.
 
+    ``other`` is a second placeholder that the token may be: a capitalised word that opens a sentence may be a name,
+    and the first word of an item a unit after a number of the document.
     ``first`` is the place of the first raw token in its text; the text's first word opens a sentence. Whether a
     short word is a unit depends on the token before, so the first token of a slice is only right at a text's start."""
     def one(token, i):
@@ -63,11 +65,29 @@ def tokens(raw: Column, first: Column) -> Column:
                  .when(F.lower(word).isin(*UNITS) & (~F.lower(word).isin(*SHORT_UNITS) | measured), "<unit>")
                  .when(word.rlike(r"^\p{Lu}\p{Ll}") & ~opens, "<name>")
                  .otherwise(F.lower(word)))
-        return F.struct(canon.alias("canon"), F.when(canon.startswith("<"), F.lower(word)).otherwise("").alias("value"))
+        other = F.when(~canon.startswith("<") & word.rlike(r"^\p{Lu}\p{Ll}"), "<name>")
+        if item:
+            other = F.when((first + i == 0) & ~canon.startswith("<") & F.lower(word).isin(*SHORT_UNITS), "<unit>").otherwise(other)
+        return F.struct(canon.alias("canon"), F.when(canon.startswith("<"), F.lower(word)).otherwise("").alias("value"),
+                        other.alias("other"), F.lower(word).alias("word"))
 
     return F.transform(raw, one)
 
 
+def readings(window: Column) -> Column:
+    """Every reading of a window as an array of (canon, value), the one without second placeholders first."""
+    def longer(done, t):
+        plain = F.struct(t["canon"].alias("canon"), t["value"].alias("value"))
+        second = F.struct(t["other"].alias("canon"), t["word"].alias("value"))
+        choices = F.when(t["other"].isNull(), F.array(plain)).otherwise(F.array(plain, second))
+        return F.flatten(F.transform(choices, lambda c: F.transform(done, lambda d: F.concat(d, F.array(c)))))
+
+    kind = "array<array<struct<canon:string,value:string>>>"
+    single = F.array(F.transform(window, lambda t: F.struct(t["canon"].alias("canon"), t["value"].alias("value")))).cast(kind)
+    several = F.aggregate(window, F.array(F.array()).cast(kind), lambda done, t: longer(done, t).cast(kind))
+    return F.when(F.exists(window, lambda t: t["other"].isNotNull()), several).otherwise(single)
+
+
 def _literals(window: Column) -> Column:
     return F.filter(window, lambda t: ~t["canon"].startswith("<"))
 
@@ -79,30 +99,37 @@ def _template(window: Column) -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, at, length, template, code, window, words, anchor, n_windows, place) for every window that can match.
+    """(item_id, at, length, words, anchor, n_windows, place, plain, window, template, code) for every reading of a
+    window that can match; ``plain`` is the one without second placeholders.
 
     ``words`` must all stand in a document that matches, ``anchor`` is one of them. ``place`` numbers the windows of
     an item from the best anchor on."""
     raw = items.select("item_id", raw_tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
-    taken = raw.select("item_id", tokens(F.col("raw"), F.lit(0)).alias("tokens"))
+    taken = raw.select("item_id", tokens(F.col("raw"), F.lit(0), True).alias("tokens"))
     taken = taken.withColumn("worded", F.size(_literals(F.col("tokens"))) > 0)
     n = F.size("tokens")
     length = F.least(n, F.lit(WINDOW))
     spread = taken.withColumn("length", length).withColumn("at", F.explode(F.sequence(F.lit(0), n - length)))
     cut = spread.withColumn("window", F.slice("tokens", F.col("at") + 1, F.col("length"))).drop("tokens")
     literal = _literals(F.col("window"))
+    # Words that are literal in every reading; if there are none, only readings with the anchor can match.
+    strict = F.filter(literal, lambda t: t["other"].isNull())
     cut = cut.where((F.size(literal) > 0) | ~F.col("worded")).withColumn("words", F.array_distinct(
-        F.when(F.col("worded"), F.transform(literal, lambda t: t["canon"])).otherwise(F.transform("window", lambda t: t["value"]))))
-    cut = cut.drop("worded").withColumn("template", _template(F.col("window"))).withColumn("code", F.xxhash64("template"))
+        F.when(F.size(strict) > 0, F.transform(strict, lambda t: t["canon"])).when(F.col("worded"), F.transform(literal, lambda t: t["canon"]))
+        .otherwise(F.transform("window", lambda t: t["value"]))))
     # The anchor is the word that fewest items hold, the longer of equally rare ones.
     words = cut.select("item_id", "at", F.explode("words").alias("word"))
     rarity = words.groupBy("word").agg(F.countDistinct("item_id").alias("items"))
     ranked = words.join(rarity, "word").groupBy("item_id", "at").agg(
         F.min(F.struct("items", (-F.length("word")).alias("short"), "word")).alias("best"))
     item = Window.partitionBy("item_id")
-    return cut.join(ranked, ["item_id", "at"]).select(
+    placed = cut.join(ranked, ["item_id", "at"]).select(
         *cut.columns, F.col("best.word").alias("anchor"), F.count("*").over(item).alias("n_windows"),
         F.row_number().over(item.orderBy("best", "at")).alias("place"))
+    read = placed.select(*[c for c in placed.columns if c != "window"], F.posexplode(readings(F.col("window"))).alias("reading", "window"))
+    read = read.where(~F.col("worded") | F.exists("window", lambda t: t["canon"] == F.col("anchor")))
+    return read.withColumn("plain", F.col("reading") == 0).drop("worded", "reading").withColumn(
+        "template", _template(F.col("window"))).withColumn("code", F.xxhash64("template"))
 
 
 def needed(n_windows: Column) -> Column:
@@ -129,6 +156,7 @@ def _found(docs: DataFrame, known: DataFrame) -> DataFrame:
     read = near.select("doc_id", "length", "first", "last", "begin", tokens(F.col("near"), F.col("begin")).alias("near"))
     starts = read.withColumn("start", F.explode(F.sequence("first", "last")))
     windows = starts.select("doc_id", "start", F.slice("near", F.col("start") - F.col("begin") + 1, F.col("length")).alias("met"))
+    windows = windows.select("doc_id", "start", F.explode(readings(F.col("met"))).alias("met"))
     windows = windows.withColumn("code", F.xxhash64(_template(F.col("met"))))
     return windows.join(small_side(known, n_known, 1024), "code").where(F.col("template") == _template(F.col("met")))
 
@@ -138,7 +166,7 @@ def _candidates(docs: DataFrame, known: DataFrame) -> DataFrame:
 
     With more than ``SHORT_LIST`` anchors the other words are not looked at: more candidates, the same result."""
     best = known.where(F.col("place") <= F.col("n_windows") - needed(F.col("n_windows")) + 1)
-    asked = best.groupBy("anchor").agg(F.collect_set("words").alias("asked"))
+    asked = best.where("plain").groupBy("anchor").agg(F.collect_set("words").alias("asked"))
     source = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.lower("text").alias("text"))
     n_known, n_asked = known.count(), asked.count()
     words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
@@ -160,9 +188,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     slots = F.filter(
         F.zip_with("window", "met", lambda a, b: F.struct(a["canon"].alias("kind"), a["value"].alias("asked"), b["value"].alias("met"))),
         lambda s: s["kind"].startswith("<"))
-    hits = joined.select("doc_id", "item_id", "at", "n_windows", (F.col("start") - F.col("at")).alias("shift"), slots.alias("slots")).distinct()
-    # One alignment of an item in a document: at most one row a window of the item.
-    aligned = hits.groupBy("doc_id", "item_id", "shift").agg(
+    hits = joined.select("doc_id", "item_id", "at", "n_windows", "plain", (F.col("start") - F.col("at")).alias("shift"), slots.alias("slots"))
+    # One alignment of an item in a document: at most one row a window of the item, the most literal reading. Sentence
+    # openings that are read as names must agree like names; an alignment also counts by its plain readings alone.
+    levels = hits.withColumn("level", F.explode(F.when(F.col("plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
+    hits = levels.groupBy("doc_id", "item_id", "shift", "level", "at").agg(
+        F.max("n_windows").alias("n_windows"), F.min(F.struct(F.size("slots").alias("n"), "slots"))["slots"].alias("slots"))
+    aligned = hits.groupBy("doc_id", "item_id", "shift", "level").agg(
         F.count("*").alias("windows"), F.max("n_windows").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
 

@@ -293,6 +293,15 @@ def test_decontamination_of_numbers_and_units(spark):
     assert not {d for d, i in _found(spark, items, docs) if d == 7}
 
 
+def test_decontamination_wherever_a_sentence_opens(spark):
+    items = ["Alice had 12 apples. Bob had 5 apples. Carol had 9 apples. How many apples are there in total?",
+             "What is the capital city of France today?"]
+    docs = ["Dan had 3 apples. Erin had 8 apples. Frank had 7 apples. How many apples are there in total?",
+            "so here we ask What is the capital city of France today? and go on", "we ask what is the capital city of Spain today",
+            "Dan had 3 apples. Dan had 8 apples. Dan had 7 apples. Nothing else is in there."]
+    assert _found(spark, items, docs) == {(1, 1), (2, 2), (3, 2)}
+
+
 def _remove(rows):
     seen, out = set(), {}
     for doc_id, text in sorted({(d, t or "") for d, t in rows}):
