@@ -12,6 +12,7 @@ candidate documents, a second one matches all windows in those. Only hits are sh
 Defined cases: null or empty texts and items match nothing; an item shorter than a window is one window of its
 own length; a window without a literal word is left out, but an item that has no literal word at all matches by its
 values verbatim; equal windows of several items match each of them;
+repeated item rows count once, and texts that share an ``item_id`` are matched each on their own;
 rows repeated with one ``doc_id`` count as one document; other columns are ignored by :func:`matches` and kept
 by :func:`clean`, which also keeps rows whose ``doc_id`` is null.
 """
@@ -99,13 +100,14 @@ def _template(window: Column) -> Column:
 
 
 def item_windows(items: DataFrame) -> DataFrame:
-    """(item_id, at, length, words, anchor, n_windows, place, plain, window, template, code) for every reading of a
-    window that can match; ``plain`` is the one without second placeholders.
+    """(item_id, variant, at, length, words, anchor, n_windows, place, plain, window, template, code) for every reading of a
+    window that can match; ``plain`` is the one without second placeholders, ``variant`` stands for the text.
 
     ``words`` must all stand in a document that matches, ``anchor`` is one of them. ``place`` numbers the windows of
     an item from the best anchor on."""
-    raw = items.select("item_id", raw_tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
-    taken = raw.select("item_id", tokens(F.col("raw"), F.lit(0), True).alias("tokens"))
+    distinct = items.select("item_id", "text").distinct().withColumn("variant", F.xxhash64("text"))
+    raw = distinct.select("item_id", "variant", raw_tokens(F.col("text")).alias("raw")).where(F.size("raw") > 0)
+    taken = raw.select("item_id", "variant", tokens(F.col("raw"), F.lit(0), True).alias("tokens"))
     taken = taken.withColumn("worded", F.size(_literals(F.col("tokens"))) > 0)
     n = F.size("tokens")
     length = F.least(n, F.lit(WINDOW))
@@ -118,12 +120,12 @@ def item_windows(items: DataFrame) -> DataFrame:
         F.when(F.size(strict) > 0, F.transform(strict, lambda t: t["canon"])).when(F.col("worded"), F.transform(literal, lambda t: t["canon"]))
         .otherwise(F.transform("window", lambda t: t["value"]))))
     # The anchor is the word that fewest items hold, the longer of equally rare ones.
-    words = cut.select("item_id", "at", F.explode("words").alias("word"))
+    words = cut.select("item_id", "variant", "at", F.explode("words").alias("word"))
     rarity = words.groupBy("word").agg(F.countDistinct("item_id").alias("items"))
-    ranked = words.join(rarity, "word").groupBy("item_id", "at").agg(
+    ranked = words.join(rarity, "word").groupBy("item_id", "variant", "at").agg(
         F.min(F.struct("items", (-F.length("word")).alias("short"), "word")).alias("best"))
-    item = Window.partitionBy("item_id")
-    placed = cut.join(ranked, ["item_id", "at"]).select(
+    item = Window.partitionBy("item_id", "variant")
+    placed = cut.join(ranked, ["item_id", "variant", "at"]).select(
         *cut.columns, F.col("best.word").alias("anchor"), F.count("*").over(item).alias("n_windows"),
         F.row_number().over(item.orderBy("best", "at")).alias("place"))
     read = placed.select(*[c for c in placed.columns if c != "window"], F.posexplode(readings(F.col("window"))).alias("reading", "window"))
@@ -188,13 +190,13 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
     slots = F.filter(
         F.zip_with("window", "met", lambda a, b: F.struct(a["canon"].alias("kind"), a["value"].alias("asked"), b["value"].alias("met"))),
         lambda s: s["kind"].startswith("<"))
-    hits = joined.select("doc_id", "item_id", "at", "n_windows", "plain", (F.col("start") - F.col("at")).alias("shift"), slots.alias("slots"))
+    hits = joined.select("doc_id", "item_id", "variant", "at", "n_windows", "plain", (F.col("start") - F.col("at")).alias("shift"), slots.alias("slots"))
     # One alignment of an item in a document: at most one row a window of the item, the most literal reading. Sentence
     # openings that are read as names must agree like names; an alignment also counts by its plain readings alone.
     levels = hits.withColumn("level", F.explode(F.when(F.col("plain"), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))))
-    hits = levels.groupBy("doc_id", "item_id", "shift", "level", "at").agg(
+    hits = levels.groupBy("doc_id", "item_id", "variant", "shift", "level", "at").agg(
         F.max("n_windows").alias("n_windows"), F.min(F.struct(F.size("slots").alias("n"), "slots"))["slots"].alias("slots"))
-    aligned = hits.groupBy("doc_id", "item_id", "shift", "level").agg(
+    aligned = hits.groupBy("doc_id", "item_id", "variant", "shift", "level").agg(
         F.count("*").alias("windows"), F.max("n_windows").alias("n_windows"),
         F.array_distinct(F.flatten(F.collect_list("slots"))).alias("slots"))
 
@@ -202,10 +204,9 @@ def matches(docs: DataFrame, items: DataFrame) -> DataFrame:
         return F.size(F.array_distinct(F.transform("slots", lambda s: F.struct(*[s[f].alias(f) for f in fields]))))
 
     consistent = (distinct("kind", "asked") == F.size("slots")) & (distinct("kind", "met") == F.size("slots"))
-    best = aligned.where(consistent).groupBy("doc_id", "item_id").agg(
-        F.max("windows").alias("windows"), F.max("n_windows").alias("n_windows"))
-    return best.where(F.col("windows") >= needed(F.col("n_windows"))).select(
-        "doc_id", "item_id", "windows", (F.col("windows") / F.col("n_windows")).alias("share"))
+    enough = aligned.where(consistent & (F.col("windows") >= needed(F.col("n_windows"))))
+    best = enough.groupBy("doc_id", "item_id").agg(F.max(F.struct("windows", (-F.col("n_windows")).alias("n"))).alias("best"))
+    return best.select("doc_id", "item_id", "best.windows", (F.col("best.windows") / -F.col("best.n")).alias("share"))
 
 
 def clean(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -302,6 +302,13 @@ def test_decontamination_wherever_a_sentence_opens(spark):
     assert _found(spark, items, docs) == {(1, 1), (2, 2), (3, 2)}
 
 
+def test_decontamination_with_repeated_items(spark):
+    rows = [(1, "one two three four five six seven eight nine ten"), (2, "red green blue")] * 3 + [(2, "wholly other words"), (3, None), (3, None)]
+    docs = spark.createDataFrame([(1, "so one two three four five six seven eight nine ten"), (2, "red green blue"), (3, "wholly other words here")], "doc_id long, text string")
+    got = {tuple(r) for r in decontaminate.matches(docs, spark.createDataFrame(rows, "item_id long, text string")).collect()}
+    assert got == {(1, 1, 3, 1.0), (2, 2, 1, 1.0), (3, 2, 1, 1.0)}
+
+
 def _remove(rows):
     seen, out = set(), {}
     for doc_id, text in sorted({(d, t or "") for d, t in rows}):
