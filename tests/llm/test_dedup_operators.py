@@ -193,6 +193,12 @@ def test_line_recall_against_brute_force_edits(spark):
     assert len(long & got) / len(long) >= 0.97
 
 
+def test_lines_at_exactly_the_similarity(spark):
+    rows = [(1, "abcdefghij"), (2, "abcdefghiX"), (3, "mnopqrstuvwxyzabcdef"), (4, "mnopqYstuvwxyzabcdeZ"), (5, "klmnopqrs"), (6, "klmnopqrX")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id for r in fuzzy_lines.repeated(docs).collect()} == {2, 4}
+
+
 def fuzzy_lines_norm(line):
     return re.sub(r"[^a-z]+", " ", line).strip()
 
