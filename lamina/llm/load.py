@@ -6,7 +6,7 @@ from importlib import import_module
 
 from lamina.llm.registry import ORACLES, QUERIES
 
-MODULES = ("queries_text", "queries_vectors", "queries_web", "queries_dedup")
+MODULES = ("queries_text", "queries_vectors", "queries_web", "queries_dedup", "queries_conversations")
 
 for _name in MODULES:
     import_module(f"lamina.llm.{_name}")
