@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lamina.llm import pieces, pii, token_files, toxicity
+from lamina.llm import language_model, pieces, pii, token_files, toxicity
 from lamina.llm.common import table
 from lamina.llm.registry import query
 from lamina.session import shared_folder
@@ -72,3 +72,18 @@ def op9_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     read_back = pieces.decode(pieces.encode(docs, path), path)
     return read_back.select("doc_id", "n_tokens", F.crc32("ids").alias("ids_crc32"),
                             F.col("decoded").eqNullSafe(F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
+def _tenth() -> F.Column:
+    """A document without an id counts as one whose id is an empty text."""
+    return F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(10))
+
+
+@query("op13_lm_scores")
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probability of every document under a smoothed word model and an attention model; every tenth is held out."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = language_model.score(docs, _tenth() != 0, public_tokenizers.path(TOKENIZER))
+    return found.select("doc_id", (_tenth() == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
