@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina import model as M
-from lamina.functions.stencils import ball_offsets, ball_spans, cross_spans
+from lamina.functions.stencils import ball_spans, cross_spans
 from lamina.operators import components as C
 from lamina.operators import packed as P
+from lamina.operators.lines import NOTHING, along_lines, envelope, grids
 from lamina.session import settle
 
 PART = ["volume_id", "component"]
@@ -23,35 +26,12 @@ def near_cells(radius: int, columns: Sequence[str] = M.COORDS) -> list:
     ]
 
 
-def _claims(rest: DataFrame, rim: DataFrame, keys: Sequence[str], radius: int) -> DataFrame:
-    """Nearest seed of the voxels of ``rest`` that have one within ``radius``."""
-    size = 2 * radius
-    cell = [F.expr(f"CAST({c} div {size} AS INT)").alias(f"g{c}") for c in M.COORDS]
-    targets = rest.select(*keys, *M.COORDS, *cell)
-    sources = rim.select(*keys, "seed", *[F.col(c).alias(f"s{c}") for c in M.COORDS])
-    for c in M.COORDS:
-        ends = [F.expr(f"CAST(floor((s{c} {sign} {radius}) / {size}) AS INT)") for sign in "-+"]
-        sources = sources.withColumn(f"g{c}", F.explode(F.array_distinct(F.array(*ends))))
-    steps = [F.col(c) - F.col(f"s{c}") for c in M.COORDS]
-    d2 = sum((s * s for s in steps[1:]), steps[0] * steps[0])
-    return (
-        targets.join(sources, [*keys, "gz", "gy", "gx"])
-        .withColumn("d2", d2)
-        .filter(F.col("d2") <= radius * radius)
-        .groupBy(*keys, *M.COORDS)
-        .agg(F.min(F.struct("d2", "seed")).alias("best"))
-        .select(*keys, *M.COORDS, F.col("best.seed").alias("seed"))
-    )
-
-
 def nearest_seed_partition(voxels: DataFrame, seeds: DataFrame, keys: Sequence[str] = tuple(PART)) -> DataFrame:
     """Each voxel takes the ``seed`` of the nearest seed voxel; the smaller seed wins a tie.
 
-    Works outward, each round settling every voxel within its radius exactly, so only
-    the rest goes on to the doubled radius: seed voxels first claim the cells of a small
-    ball, then meet the remaining voxels on a grid whose cells are twice the radius
-    wide, where a seed reaches at most eight cells. A key without any seed yields no
-    rows. Only seed voxels at the seed's own surface can be nearest to a voxel outside it.
+    Separable like the distance transform: along x, y and z, lower envelopes carry (squared distance, seed) over the
+    box that the unsettled voxels of a key span. One pass an axis, whatever the distances are. A key without any seed
+    yields no rows. Only seed voxels at the seed's own surface can be nearest to a voxel outside it.
     """
     at = [*keys, *M.COORDS]
     has_seed = seeds.select(*keys).distinct()
@@ -59,33 +39,97 @@ def nearest_seed_partition(voxels: DataFrame, seeds: DataFrame, keys: Sequence[s
     rest = settle(
         voxels.select(*at).join(has_seed, list(keys), "left_semi").join(inside, at, "left_anti")
     )
-    with_seed = [*keys, "seed"]
-    rim = settle(P.unpack(P.surface_words(P.pack(seeds, with_seed), with_seed), with_seed))
-    found = [voxels.select(*at).join(inside, at)]
-    taps = F.array(
-        *[
-            F.struct(*[F.lit(v).alias(c) for v, c in zip(o, M.COORDS)], F.lit(sum(v * v for v in o)).alias("d2"))
-            for o in ball_offsets(2)
-        ]
-    )
-    moved = rim.withColumn("t", F.explode(taps))
-    claimed = moved.groupBy(*keys, *[(F.col(c) + F.col(f"t.{c}")).alias(c) for c in M.COORDS]).agg(
-        F.min(F.struct("t.d2", "seed")).alias("best")
+    box = rest.groupBy(*keys).agg(
+        *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("least", F.min), ("most", F.max))]
     )
-    hit = claimed.join(rest, at, "left_semi").select(*at, F.col("best.seed").alias("seed"))
-    radius = 2
-    while True:
-        hit = settle(hit)
-        found.append(hit)
-        rest = settle(rest.join(hit, at, "left_anti"))
-        if rest.isEmpty():
-            break
-        radius *= 2
-        hit = _claims(rest, rim, keys, radius)
-    out = found[0]
-    for part in found[1:]:
-        out = out.unionByName(part)
-    return out
+    with_seed = [*keys, "seed"]
+    rim = P.unpack(P.surface_words(P.pack(seeds, with_seed), with_seed), with_seed)
+    step = rim.select(*at, "seed", F.lit(0).cast("long").alias("d2")).join(box, list(keys))
+    for axis, line in (("x", [*keys, "z", "y"]), ("y", [*keys, "z", "x"])):
+        step = along_lines(step, line, axis, _spread_pass(axis), step.schema)
+    carried = step.select(*at, "seed", "d2", F.lit(False).alias("wanted"))
+    asked = rest.withColumn("wanted", F.lit(True))
+    met = carried.unionByName(asked, allowMissingColumns=True).select(*at, "seed", "d2", "wanted")
+    nearest = along_lines(met, [*keys, "y", "x"], "z", _last_pass("z"), met.schema)
+    return voxels.select(*at).join(inside, at).unionByName(nearest.select(*at, "seed"))
+
+
+def _costs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, seeds): distance and rank of the seed as one number, so that the smaller seed wins a tie.
+
+    ``cost // len(seeds)`` is the distance, the remainder the place of the seed. Rows without a seed cost nothing's price.
+    """
+    seed, d2 = (rows.column(c).combine_chunks() for c in ("seed", "d2"))
+    known = seed.is_valid().to_numpy(zero_copy_only=False)
+    seeds, rank = np.unique(seed.fill_null(0).to_numpy()[known], return_inverse=True)
+    cost = np.full(len(known), NOTHING, np.int64)
+    cost[known] = d2.fill_null(0).to_numpy()[known] * len(seeds) + rank
+    return cost, seeds
+
+
+def _laid_out(at: np.ndarray, starts: np.ndarray, cost: np.ndarray, first: np.ndarray, last: np.ndarray, scale: int):
+    """For grids of lines: (lines, cost of every cell, best source of every cell)."""
+    line_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
+    row_of = np.full(len(starts), -1)
+    for lines, width in grids(first, last):
+        row_of[:] = -1
+        row_of[lines] = np.arange(len(lines))
+        mine = np.nonzero((row_of[line_of] >= 0) & (cost < NOTHING))[0]
+        grid = np.full((len(lines), width), NOTHING, np.int64)
+        np.minimum.at(grid, (row_of[line_of[mine]], at[mine] - first[line_of[mine]]), cost[mine])
+        yield lines, grid, envelope(grid, scale)
+
+
+def _spread_pass(axis: str):
+    """Every line with a source gets a row for each place between ``least`` and ``most``."""
+
+    def treat(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        at = rows.column(axis).to_numpy().astype(np.int64)
+        cost, seeds = _costs(rows)
+        low, high = (rows.column(f"{n}_{axis}").to_numpy()[starts].astype(np.int64) for n in ("least", "most"))
+        first = np.minimum(low, np.minimum.reduceat(at, starts))
+        last = np.maximum(high, np.maximum.reduceat(at, starts))
+        for lines, grid, best in _laid_out(at, starts, cost, first, last, len(seeds)):
+            place = np.arange(grid.shape[1])[None, :] + first[lines][:, None]
+            r, c = np.nonzero((place >= low[lines][:, None]) & (place <= high[lines][:, None]))
+            b = best[r, c]
+            taken = grid[r, b]
+            out = rows.take(pa.array(starts[lines[r]]))
+            for name, values in ((axis, place[r, c]), ("seed", seeds[taken % len(seeds)]), ("d2", (c - b) ** 2 + taken // len(seeds))):
+                i = out.schema.get_field_index(name)
+                out = out.set_column(i, name, pa.array(values).cast(out.schema.field(i).type))
+            yield out
+
+    return treat
+
+
+def _last_pass(axis: str):
+    """Wanted rows take the seed of the best source of their line."""
+
+    def treat(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        at = rows.column(axis).to_numpy().astype(np.int64)
+        wanted = rows.column("wanted").to_numpy()
+        cost, seeds = _costs(rows)
+        if not len(seeds) or not wanted.any():
+            return
+        first, last = np.minimum.reduceat(at, starts), np.maximum.reduceat(at, starts)
+        line_of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(at))))
+        row_of = np.full(len(starts), -1)
+        for lines, grid, best in _laid_out(at, starts, cost, first, last, len(seeds)):
+            row_of[:] = -1
+            row_of[lines] = np.arange(len(lines))
+            mine = np.nonzero(wanted & (row_of[line_of] >= 0))[0]
+            r, c = row_of[line_of[mine]], at[mine] - first[line_of[mine]]
+            b = best[r, c]
+            mine, r, c, b = (v[b >= 0] for v in (mine, r, c, b))
+            taken = grid[r, b]
+            out = rows.take(pa.array(mine))
+            for name, values in (("seed", seeds[taken % len(seeds)]), ("d2", (c - b) ** 2 + taken // len(seeds))):
+                i = out.schema.get_field_index(name)
+                out = out.set_column(i, name, pa.array(values).cast(out.schema.field(i).type))
+            yield out
+
+    return treat
 
 
 def partition_boundary(
