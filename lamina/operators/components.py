@@ -3,10 +3,10 @@
 The work is done in two steps that both stay bounded when one volume holds most of
 the data:
 
-1. every ``TILE x TILE`` bundle of x lines is labelled on its own. The group is keyed by
-   volume and tile, so its size is fixed by the tile and never by the volume or by a
-   component;
-2. the labels that meet across tile faces form a small graph, which is contracted by
+1. every box of ``TILE x TILE`` lines and one packed word (32 voxels) along x is labelled on
+   its own. The group is keyed by volume and box, so its size is fixed by the box and never
+   by the volume, its width or a component;
+2. the labels that meet across box faces form a small graph, which is contracted by
    repeated joins until nothing is left to merge.
 
 A component is named by its first voxel in raster order.
@@ -24,29 +24,49 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina.functions.stencils import line_reach
-from lamina.session import settle
+from lamina.operators import packed as P
+from lamina.session import by_cells, settle
 
 TILE = 32
+TILE_KEYS = ["tz", "ty", "tx"]
+#: Coordinates that fit the packed raster position of a component.
+SIDE_LIMIT = 1 << 21
 _RUN = ["z", "y", "x0", "x1"]
 
 
 def to_runs(
     mask: DataFrame, keys: Sequence[str] = ("volume_id",), tile: int = TILE, group: Sequence[str] | None = None
 ) -> DataFrame:
-    """Maximal x intervals of a mask, laid out by tile.
+    """Maximal x intervals of a mask within its words, laid out by tile.
 
     ``group`` names the keys that share a tile; masks that all lie in one plane pass
     every key so that a tile holds one mask only.
     """
-    placed = _by_tile(mask.select(*keys, "z", "y", "x"), keys, tile, group)
-    line = W.partitionBy(*keys, "tz", "ty", "z", "y").orderBy("x")
-    return (
-        # A voxel that is listed twice has one rank, so it neither splits nor lengthens an interval.
-        placed.withColumn("island", F.col("x") - F.dense_rank().over(line))
-        .groupBy(*keys, "tz", "ty", "z", "y", "island")
-        .agg(F.min("x").alias("x0"), F.max("x").alias("x1"))
-        .drop("island")
+    return runs_of(P.pack(mask, keys), keys, tile, group)
+
+
+def runs_of(
+    words: DataFrame, keys: Sequence[str] = ("volume_id",), tile: int = TILE, group: Sequence[str] | None = None
+) -> DataFrame:
+    """:func:`to_runs` of packed words. An interval begins and ends where a bit differs from its neighbour."""
+    bits_of = "filter(sequence(0, 31), i -> (shiftright({0}, i) & 1L) = 1L)"
+    first = bits_of.format("bits & ~shiftleft(bits, 1)")
+    last = bits_of.format("bits & ~shiftright(bits, 1)")
+    spans = F.expr(f"zip_with({first}, {last}, (a, b) -> struct(xb * 32 + a AS x0, xb * 32 + b AS x1))")
+    placed = (
+        words.select(
+            *keys, F.expr(f"CAST(z div {tile} AS INT)").alias("tz"), F.expr(f"CAST(y div {tile} AS INT)").alias("ty"),
+            F.col("xb").alias("tx"), "z", "y", "xb", "bits",
+        )
+        .repartition(*(group or keys[:1]), *TILE_KEYS)
     )
+    return placed.select(*keys, *TILE_KEYS, "z", "y", F.inline(spans))
+
+
+def words_of(runs: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+    """Packed words of intervals that do not leave their words, without any voxel row."""
+    bits = F.expr("shiftleft(1L, x1 % 32 + 1) - shiftleft(1L, x0 % 32)")
+    return runs.groupBy(*keys, "z", "y", F.expr("CAST(x0 div 32 AS INT)").alias("xb")).agg(F.bit_or(bits).alias("bits"))
 
 
 def from_runs(runs: DataFrame, *extra: str | Column, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
@@ -66,41 +86,32 @@ def bounds(frames: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame
 
 
 def gap_runs(
-    runs: DataFrame,
+    words: DataFrame,
     frames: DataFrame,
     keys: Sequence[str] = ("volume_id",),
     tile: int = TILE,
     group: Sequence[str] | None = None,
 ) -> DataFrame:
-    """The complement of ``runs`` inside ``frames(keys, fz0..fx1)``, again as intervals.
+    """The complement of packed ``words`` inside ``frames(keys, fz0..fx1)`` as intervals.
 
-    Every line gets an end marker just past the frame; the gap before each interval
-    and before the marker is a background run.
+    Frames are dealt by plane before their words are listed, so one large frame spreads over many tasks.
     """
-    ends = (
-        frames.select(*keys, "fx0", "fx1", F.explode(F.sequence("fz0", "fz1")).alias("z"), "fy0", "fy1")
+    planes = frames.select(*keys, F.explode(F.sequence("fz0", "fz1")).alias("z"), "fy0", "fy1", "fx0", "fx1")
+    cells = (F.col("fy1") - F.col("fy0") + 1).cast("long") * (F.expr("fx1 div 32 - fx0 div 32") + 1)
+    listed = (
+        by_cells(planes, cells, *keys, "z")
         .select(*keys, "z", F.explode(F.sequence("fy0", "fy1")).alias("y"), "fx0", "fx1")
-        .select(*keys, "z", "y", (F.col("fx1") + 1).alias("x0"), (F.col("fx1") + 1).alias("x1"), "fx0")
-    )
-    marked = runs.select(*keys, *_RUN, F.lit(None).cast("int").alias("fx0")).unionByName(ends)
-    placed = _by_tile(marked, keys, tile, group)
-    line = W.partitionBy(*keys, "tz", "ty", "z", "y")
-    # The marker is the last row of its line and carries the frame's first x.
-    first = F.max("fx0").over(line) - 1
-    return (
-        placed.withColumn("lo", F.coalesce(F.lag("x1").over(line.orderBy("x0")), first) + 1)
-        .filter("lo < x0")
-        .select(*keys, "tz", "ty", "z", "y", F.col("lo").alias("x0"), (F.col("x0") - 1).alias("x1"))
+        .select(*keys, "z", "y", "fx0", "fx1", F.explode(F.expr("sequence(fx0 div 32, fx1 div 32)")).alias("xb"))
+        .select(*keys, "z", "y", F.col("xb").cast("int").alias("xb"), F.expr(
+            "shiftleft(1L, CAST(least(fx1 - xb * 32, 31) + 1 AS INT)) - shiftleft(1L, CAST(greatest(fx0 - xb * 32, 0) AS INT))"
+        ).alias("frame"), F.lit(0).cast("long").alias("bits"))
     )
-
-
-def _by_tile(rows: DataFrame, keys: Sequence[str], tile: int, group: Sequence[str] | None = None) -> DataFrame:
-    # One shuffle serves the line windows and the per-tile labelling.
-    return (
-        rows.withColumn("tz", F.expr(f"CAST(z div {tile} AS INT)"))
-        .withColumn("ty", F.expr(f"CAST(y div {tile} AS INT)"))
-        .repartition(*(group or keys[:1]), "tz", "ty")
+    both = listed.unionByName(words.select(*keys, *P.WORD_KEYS, F.lit(0).cast("long").alias("frame"), "bits"))
+    empty = (
+        both.groupBy(*keys, *P.WORD_KEYS).agg(F.bit_or("frame").alias("frame"), F.bit_or("bits").alias("bits"))
+        .select(*keys, *P.WORD_KEYS, F.expr("frame & ~bits").alias("bits")).filter("bits != 0")
     )
+    return runs_of(empty, keys, tile, group)
 
 
 def _tile_labels(reach, inner):
@@ -109,6 +120,8 @@ def _tile_labels(reach, inner):
     def label(runs: pd.DataFrame) -> pd.DataFrame:
         code = runs.groupby(inner, sort=False).ngroup().to_numpy() if inner else np.zeros(len(runs), np.int64)
         z, y = runs["z"].to_numpy(np.int64), runs["y"].to_numpy(np.int64)
+        if min(runs[c].min() for c in _RUN) < 0 or max(runs[c].max() for c in _RUN) >= SIDE_LIMIT:
+            raise ValueError(f"coordinates must be from 0 to {SIDE_LIMIT - 1}")
         lo, hi = runs["x0"].to_numpy(np.int64), runs["x1"].to_numpy(np.int64)
         order = np.lexsort((lo, y, z, code))
         runs = runs.iloc[order]
@@ -119,8 +132,6 @@ def _tile_labels(reach, inner):
         rows, planes = int(ty.max()) + 3, int(tz.max()) + 3
         line = (code * planes + tz) * rows + ty + 1
         band = int(hi.max() - shift) + 3
-        if (int(line.max()) + 2 * rows) * band >= 1 << 62:
-            raise OverflowError("too many masks share a tile: pass more of the keys as group")
         starts, ends = line * band + lo - shift + 1, line * band + hi - shift + 1
         left, right = [], []
         for dz, dy, slack in reach:
@@ -165,10 +176,10 @@ def label_runs(
     """
     reach = line_reach(connectivity)
     group = list(group or keys[:1])
-    runs = runs.select(*keys, "tz", "ty", *_RUN)
+    runs = runs.select(*keys, *TILE_KEYS, *_RUN)
     schema = T.StructType(list(runs.schema.fields) + [T.StructField("node", T.LongType())])
     local = settle(
-        runs.groupBy(*group, "tz", "ty").applyInPandas(
+        runs.groupBy(*group, *TILE_KEYS).applyInPandas(
             _tile_labels(reach, [k for k in keys if k not in group]), schema
         )
     )
@@ -177,15 +188,18 @@ def label_runs(
         return local
     return (
         local.join(merged.select(*keys, "node", "root"), [*keys, "node"], "left")
-        .select(*keys, "tz", "ty", *_RUN, F.coalesce("root", "node").alias("node"))
+        .select(*keys, *TILE_KEYS, *_RUN, F.coalesce("root", "node").alias("node"))
     )
 
 
 def _face_edges(local: DataFrame, reach, keys: Sequence[str], tile: int) -> DataFrame:
-    """Pairs of labels that touch across a tile face."""
-    face = local.filter(f"z % {tile} IN (0, {tile - 1}) OR y % {tile} IN (0, {tile - 1})")
+    """Pairs of labels that touch across a face, edge or corner of their tiles."""
+    face = local.filter(
+        f"z % {tile} IN (0, {tile - 1}) OR y % {tile} IN (0, {tile - 1}) OR x0 % 32 = 0 OR x1 % 32 = 31"
+    )
+    # On a run's own line its next word is a neighbour as well.
     taps = F.array(
-        *[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("slack")) for a, b, c in reach]
+        *[F.struct(F.lit(a).alias("dz"), F.lit(b).alias("dy"), F.lit(c).alias("slack")) for a, b, c in [*reach, (0, 0, 1)]]
     )
     near = (
         face.withColumn("tap", F.explode(taps))
@@ -195,17 +209,17 @@ def _face_edges(local: DataFrame, reach, keys: Sequence[str], tile: int) -> Data
             (F.col("y") + F.col("tap.dy")).alias("y"),
             (F.col("x0") - F.col("tap.slack")).alias("lo"),
             (F.col("x1") + F.col("tap.slack")).alias("hi"),
-            "tz",
-            "ty",
+            *TILE_KEYS,
             F.col("node").alias("u"),
         )
-        .filter(f"z div {tile} != tz OR y div {tile} != ty")
-        .drop("tz", "ty")
+        .withColumn("xb", F.explode(F.expr("sequence(CAST(greatest(lo, 0) div 32 AS INT), CAST(hi div 32 AS INT))")))
+        .filter(f"z div {tile} != tz OR y div {tile} != ty OR xb != tx")
+        .drop(*TILE_KEYS)
     )
-    far = face.select(*keys, "z", "y", "x0", "x1", F.col("node").alias("v"))
+    far = face.select(*keys, "z", "y", F.col("tx").alias("xb"), "x0", "x1", F.col("node").alias("v"))
     return (
-        near.join(far, [*keys, "z", "y"])
-        .filter("x0 <= hi AND x1 >= lo")
+        near.join(far, [*keys, "z", "y", "xb"])
+        .filter("x0 <= hi AND x1 >= lo AND u != v")
         .select(*keys, "u", "v")
         .distinct()
     )
@@ -357,9 +371,19 @@ def enclosed_runs(
     ``frames`` holds one row of :func:`bounds` columns per ``keys``. Connectivity 4 is
     for planar masks, whose z faces do not count.
     """
+    return enclosed_of(P.pack(mask, keys), frames, keys, connectivity, tile)
+
+
+def enclosed_of(
+    words: DataFrame,
+    frames: DataFrame,
+    keys: Sequence[str] = ("volume_id",),
+    connectivity: int = 6,
+    tile: int = TILE,
+) -> DataFrame:
+    """:func:`enclosed_runs` of packed words."""
     group = list(keys) if connectivity == 4 else None
-    gaps = gap_runs(to_runs(mask, keys, tile, group), frames, keys, tile, group)
-    empty = label_runs(gaps, connectivity, keys, tile, group)
+    empty = label_runs(gap_runs(words, frames, keys, tile, group), connectivity, keys, tile, group)
     touches = "y = fy0 OR y = fy1 OR x0 = fx0 OR x1 = fx1"
     if connectivity != 4:
         touches += " OR z = fz0 OR z = fz1"
@@ -383,7 +407,14 @@ def count_internal_holes(
     mask: DataFrame, frames: DataFrame, keys: Sequence[str] = ("volume_id",), tile: int = TILE
 ) -> DataFrame:
     """Number of enclosed background components per frame, zero included."""
-    holes = enclosed_runs(mask, frames, keys, 6, tile).groupBy(*keys).agg(
+    return count_holes_of(P.pack(mask, keys), frames, keys, tile)
+
+
+def count_holes_of(
+    words: DataFrame, frames: DataFrame, keys: Sequence[str] = ("volume_id",), tile: int = TILE
+) -> DataFrame:
+    """:func:`count_internal_holes` of packed words."""
+    holes = enclosed_of(words, frames, keys, 6, tile).groupBy(*keys).agg(
         F.count_distinct("node").alias("n_holes")
     )
     return frames.select(*keys).join(holes, list(keys), "left").na.fill(0, ["n_holes"])

@@ -11,14 +11,15 @@ from lamina import model as M
 from lamina.functions.stencils import ball_spans
 from lamina.operators import components as C
 from lamina.operators import packed as P
+from lamina.session import settle
 
 KEY = ["volume_id"]
 SIDED = ["volume_id", "side"]
 
 
 def apply_ignore(mask: DataFrame, ignore: DataFrame) -> DataFrame:
-    """Mask voxels outside the region the ground truth leaves unlabelled."""
-    return mask.join(ignore.select(*M.VOXEL), M.VOXEL, "left_anti")
+    """Mask voxels outside the region the ground truth leaves unlabelled; whole words are subtracted."""
+    return P.unpack(P.minus(P.pack(mask), P.pack(ignore)))
 
 
 def both_sides(pred: DataFrame, truth: DataFrame) -> DataFrame:
@@ -40,7 +41,12 @@ def sided_surface_dice(masks: DataFrame, volumes: DataFrame, tolerance: float =
     A voxel is within tolerance iff it lies in the other surface dilated by the ball,
     so no distance is ever computed; matches are counted bit by bit.
     """
-    surface = P.surface_words(P.pack(masks, SIDED), SIDED)
+    return dice_of_words(P.pack(masks, SIDED), volumes, tolerance)
+
+
+def dice_of_words(words: DataFrame, volumes: DataFrame, tolerance: float = M.SURFACE_TOLERANCE) -> DataFrame:
+    """:func:`sided_surface_dice` of packed words."""
+    surface = P.surface_words(words, SIDED)
     near = P.dilate_words(surface, ball_spans(tolerance), volumes, SIDED)
     tagged = surface.withColumn("kind", F.lit(0)).unionByName(near.withColumn("kind", F.lit(1)))
     none = F.lit(0).cast("long")
@@ -105,14 +111,30 @@ def voi(pred_runs: DataFrame, truth_runs: DataFrame, volumes: DataFrame, alpha:
 
 
 def _contingency(pred_runs: DataFrame, truth_runs: DataFrame) -> DataFrame:
-    """``(volume_id, p, t, n)``; label -1 stands for absent."""
-    p = C.from_runs(pred_runs, F.col("node").alias("p"))
-    t = C.from_runs(truth_runs, F.col("node").alias("t"))
-    return (
-        p.join(t, M.VOXEL, "full")
-        .groupBy(*KEY, F.coalesce("p", F.lit(-1)).alias("p"), F.coalesce("t", F.lit(-1)).alias("t"))
-        .agg(F.count(F.lit(1)).alias("n"))
+    """``(volume_id, p, t, n)``; label -1 stands for absent.
+
+    Intervals of both sides meet by word and count their overlap; what is left of a label's length is absent on the
+    other side. No voxel becomes a row, and a line's intervals meet only within 32 voxels.
+    """
+    def pieces(runs: DataFrame, label: str, lo: str, hi: str) -> DataFrame:
+        word = F.explode(F.expr("sequence(x0 div 32, x1 div 32)")).alias("xb")
+        return runs.select(*KEY, "z", "y", "x0", "x1", F.col("node").alias(label), word).select(
+            *KEY, "z", "y", "xb", label, F.greatest("x0", F.col("xb") * 32).alias(lo), F.least("x1", F.col("xb") * 32 + 31).alias(hi))
+
+    length = F.least("p1", "t1") - F.greatest("p0", "t0") + 1
+    met = (
+        pieces(pred_runs, "p", "p0", "p1").join(pieces(truth_runs, "t", "t0", "t1"), [*KEY, "z", "y", "xb"])
+        .filter("p0 <= t1 AND t0 <= p1").groupBy(*KEY, "p", "t").agg(F.sum(length).cast("long").alias("n"))
     )
+    both = settle(met)
+    out = both
+    for runs, side, other in ((pred_runs, "p", "t"), (truth_runs, "t", "p")):
+        size = runs.groupBy(*KEY, F.col("node").alias(side)).agg(F.sum((F.col("x1") - F.col("x0") + 1).cast("long")).alias("size"))
+        shared = both.groupBy(*KEY, side).agg(F.sum("n").alias("shared"))
+        rest = size.join(shared, [*KEY, side], "left").withColumn("n", F.col("size") - F.coalesce("shared", F.lit(0)))
+        alone = rest.filter("n > 0").select(*KEY, side, F.lit(-1).cast("long").alias(other), "n")
+        out = out.unionByName(alone)
+    return out
 
 
 def euler_characteristic(mask: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
@@ -122,7 +144,11 @@ def euler_characteristic(mask: DataFrame, volumes: DataFrame, keys: Sequence[str
     by 0 or 1 along the axes of S is; the eight kinds of cells are eight shifted ORs of
     the packed mask.
     """
-    words = P.pack(mask, keys)
+    return euler_of_words(P.pack(mask, keys), volumes, keys)
+
+
+def euler_of_words(words: DataFrame, volumes: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
+    """:func:`euler_characteristic` of packed words."""
     low = "4294967295L"
     taps = F.expr(
         "array(struct(0 AS dz, 0 AS dy), struct(0 AS dz, 1 AS dy), struct(1 AS dz, 0 AS dy), struct(1 AS dz, 1 AS dy))"
@@ -160,11 +186,22 @@ def betti_numbers(
     tile: int = C.TILE,
 ) -> DataFrame:
     """b0 (26-connected parts), b1 (tunnels) and b2 (6-connected cavities) per ``keys`` row of ``volumes``."""
+    return betti_of_words(P.pack(mask, keys), volumes, runs, keys, tile)
+
+
+def betti_of_words(
+    words: DataFrame,
+    volumes: DataFrame,
+    runs: DataFrame | None = None,
+    keys: Sequence[str] = ("volume_id",),
+    tile: int = C.TILE,
+) -> DataFrame:
+    """:func:`betti_numbers` of packed words."""
     if runs is None:
-        runs = C.label_runs(C.to_runs(mask, keys, tile), 26, keys, tile)
+        runs = C.label_runs(C.runs_of(words, keys, tile), 26, keys, tile)
     parts = runs.groupBy(*keys).agg(F.count_distinct("node").alias("b0"))
-    holes = C.count_internal_holes(mask, C.bounds(volumes, keys), keys, tile)
-    chi = euler_characteristic(mask, volumes, keys)
+    holes = C.count_holes_of(words, C.bounds(volumes, keys), keys, tile)
+    chi = euler_of_words(words, volumes, keys)
     b0 = F.coalesce("b0", F.lit(0)).cast("long")
     return (
         chi.join(parts, list(keys), "left")
@@ -209,14 +246,21 @@ def score_masks(
     tile: int = C.TILE,
 ) -> DataFrame:
     """All score parts per volume; masks must already exclude ignored voxels."""
-    runs = C.label_runs(C.to_runs(both_sides(pred, truth), SIDED, tile), 26, SIDED, tile)
+    return score_words(P.pack(both_sides(pred, truth), SIDED), volumes, tolerance, tile)
+
+
+def score_words(
+    words: DataFrame, volumes: DataFrame, tolerance: float = M.SURFACE_TOLERANCE, tile: int = C.TILE
+) -> DataFrame:
+    """:func:`score_masks` of packed ``(volume_id, side)`` words; no voxel becomes a row."""
+    runs = C.label_runs(C.runs_of(words, SIDED, tile), 26, SIDED, tile)
     # Everything below starts from the settled runs instead of the callers' plans.
-    masks = C.from_runs(runs, keys=SIDED)
+    words = C.words_of(runs, SIDED)
     sides = volumes.withColumn("side", F.explode(F.array(F.lit(0), F.lit(1))))
     one = lambda df, i: df.filter(F.col("side") == i).drop("side")
-    dice = sided_surface_dice(masks, volumes, tolerance).select(*KEY, "surface_dice")
+    dice = dice_of_words(words, volumes, tolerance).select(*KEY, "surface_dice")
     information = voi(one(runs, 0), one(runs, 1), volumes)
-    betti = betti_numbers(masks, sides, runs, SIDED, tile)
+    betti = betti_of_words(words, sides, runs, SIDED, tile)
     topology = topo_score(one(betti, 0), one(betti, 1))
     score = (
         M.TOPO_WEIGHT * F.col("topo_score")
@@ -239,7 +283,8 @@ def case_score(
     """Score mask rows against label rows ``(volume_id, z, y, x, label)``, ignoring label 2."""
     ignore = labels.filter(F.col("label") == M.IGNORE)
     truth = labels.filter(F.col("label") == M.SURFACE).select(*M.VOXEL)
-    return score_masks(apply_ignore(predictions.select(*M.VOXEL), ignore), truth, volumes, tolerance)
+    guess = P.minus(P.pack(predictions), P.pack(ignore)).withColumn("side", F.lit(0))
+    return score_words(guess.unionByName(P.pack(truth).withColumn("side", F.lit(1))), volumes, tolerance)
 
 
 def confusion_dice(predicted: DataFrame, labels: DataFrame) -> DataFrame:
@@ -265,11 +310,11 @@ def confusion_dice(predicted: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def skeleton_recall(
-    probs: DataFrame, skeleton: DataFrame, labels: DataFrame, smooth: float = 1.0, volumes: DataFrame | None = None
+    probs: DataFrame, skeleton: DataFrame, labels: DataFrame, volumes: DataFrame, smooth: float = 1.0
 ) -> DataFrame:
     """Soft recall of skeleton voxels by the stored surface probability ``prob``.
 
-    With ``volumes`` every volume gets a row; one without skeleton has nothing to miss and recall 1.
+    Every row of ``volumes`` gets one; a volume without skeleton has nothing to miss and recall 1.
     """
     valid = apply_ignore(skeleton.select(*M.VOXEL), labels.filter(F.col("label") == M.IGNORE))
     hit = valid.join(probs.select(*M.VOXEL, "prob"), M.VOXEL, "left")
@@ -278,8 +323,6 @@ def skeleton_recall(
         n.alias("n_skeleton"),
         ((F.sum(F.coalesce("prob", F.lit(0.0))) + smooth) / (n + smooth)).alias("skeleton_recall"),
     )
-    if volumes is None:
-        return found
     return volumes.select(*KEY).join(found, KEY, "left").select(
         *KEY, F.coalesce("n_skeleton", F.lit(0).cast("long")).alias("n_skeleton"),
         F.coalesce("skeleton_recall", F.lit(1.0)).alias("skeleton_recall"),
@@ -287,11 +330,16 @@ def skeleton_recall(
 
 
 def affinity_agreement(
-    targets: DataFrame, logits: DataFrame, smooth: float = 1e-5, keys: Sequence[str] = ("volume_id",)
+    targets: DataFrame,
+    logits: DataFrame,
+    smooth: float = 1e-5,
+    keys: Sequence[str] = ("volume_id",),
+    offsets: DataFrame | None = None,
 ) -> DataFrame:
     """Per offset: valid pairs, mean logistic loss and soft Dice of stored affinity logits.
 
-    A pair without a stored logit counts as logit 0; :func:`affinity_summary` combines the offsets.
+    A pair without a stored logit counts as logit 0; :func:`affinity_summary` combines the offsets. ``offsets`` names
+    the ``(keys, oz, oy, ox)`` that get a row in any case: without valid pairs the loss is 0 and the Dice 1.
     """
     pair = [*M.VOXEL, "oz", "oy", "ox"]
     joined = targets.filter("affinity >= 0").join(logits.select(*pair, "logit"), pair, "left")
@@ -299,16 +347,20 @@ def affinity_agreement(
     x = F.coalesce("logit", F.lit(0.0))
     loss = F.greatest(x, F.lit(0.0)) - x * t + F.log1p(F.exp(-F.abs(x)))
     p = 1 / (1 + F.exp(-x))
-    return joined.groupBy(*keys, "oz", "oy", "ox").agg(
+    found = joined.groupBy(*keys, "oz", "oy", "ox").agg(
         F.count(F.lit(1)).alias("n_valid"),
         F.avg(loss).alias("bce"),
         ((2 * F.sum(p * t) + smooth) / (F.sum(p) + F.sum(t) + smooth)).alias("soft_dice"),
     )
+    if offsets is None:
+        return found
+    at = [*keys, "oz", "oy", "ox"]
+    return offsets.select(*at).join(found, at, "left").na.fill({"n_valid": 0, "bce": 0.0, "soft_dice": 1.0})
 
 
 def affinity_summary(agreement: DataFrame, keys: Sequence[str] = ("volume_id",)) -> DataFrame:
     """The combined measure: loss over all valid pairs, Dice over offsets, and half of each with Dice as a loss."""
-    bce = F.sum(F.col("bce") * F.col("n_valid")) / F.sum("n_valid")
+    bce = F.coalesce(F.sum(F.col("bce") * F.col("n_valid")) / F.nullif(F.sum("n_valid"), F.lit(0)), F.lit(0.0))
     dice = F.avg("soft_dice")
     return agreement.groupBy(*keys).agg(
         bce.alias("bce"), dice.alias("soft_dice"), (0.5 * bce + 0.5 * (1 - dice)).alias("combined")

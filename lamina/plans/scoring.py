@@ -156,11 +156,12 @@ def betti(spark, folder):
 VOI_SQL = f"""{X.component_sql('pc', 'pred', 26)}, {X.component_sql('tc', 'truth', 26)},
 cont AS MATERIALIZED (SELECT volume_id, coalesce(p.lab, -1) AS p, coalesce(t.lab, -1) AS t, count(*) AS n
   FROM pc p FULL JOIN tc t USING (volume_id, id) GROUP BY ALL),
-frac AS (SELECT volume_id, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY volume_id) AS pij,
+frac AS (SELECT volume_id, p, t, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY volume_id) AS pij,
   CAST(sum(n) OVER (PARTITION BY volume_id, p) AS DOUBLE) / sum(n) OVER (PARTITION BY volume_id) AS pi,
   CAST(sum(n) OVER (PARTITION BY volume_id, t) AS DOUBLE) / sum(n) OVER (PARTITION BY volume_id) AS pj, n FROM cont),
 voi AS MATERIALIZED (SELECT volume_id, CAST(sum(n) AS BIGINT) AS n_foreground, -sum(pij * log2(pij / pi)) AS voi_split,
-  -sum(pij * log2(pij / pj)) AS voi_merge, 1 / (1 + 0.3::DOUBLE * -sum(pij * log2(pij / pi) + pij * log2(pij / pj))) AS voi_score
+  -sum(pij * log2(pij / pj)) AS voi_merge, CASE WHEN max(p) < 0 OR max(t) < 0 THEN 0.0::DOUBLE
+  ELSE 1 / (1 + 0.3::DOUBLE * -sum(pij * log2(pij / pi) + pij * log2(pij / pj))) END AS voi_score
   FROM frac GROUP BY 1)"""
 
 

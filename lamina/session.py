@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str | int = "*", app: str = "lamina", **conf: str) -> SparkSession:
@@ -52,3 +53,16 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     if context.getCheckpointDir() is None:
         settle(spark.range(1))
     return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+#: Cells that one task lists.
+CELLS_A_TASK = 1 << 20
+
+
+def by_cells(rows: DataFrame, cells: Column, *keys: str) -> DataFrame:
+    """Deal ``rows``, each of which will be expanded to ``cells`` rows, by ``keys`` to tasks of bounded output.
+
+    The number of tasks is given to Spark, which would else merge the small rows into one task.
+    """
+    total = rows.agg(F.sum(cells)).first()[0] or 0
+    return rows.repartition(max(1, -(-int(total) // CELLS_A_TASK)), *keys)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lamina.functions.columns import file_stem
+from lamina.session import by_cells
 
 UNKNOWN = "unknown"
 
@@ -124,10 +125,15 @@ def probe_volumes(voxels: DataFrame, intensity: str | None = "intensity") -> Dat
 
 
 def dense_cells(volumes: DataFrame) -> DataFrame:
-    """Every cell of every volume; explodes line by line so that no row gets large."""
+    """Every cell of every volume.
+
+    Planes are dealt to as many tasks as the cells need before they are listed, so one volume spreads over many
+    tasks; lines are listed one by one, so no row gets large.
+    """
     axis = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    planes = volumes.select("volume_id", axis("d").alias("z"), "h", "w")
     return (
-        volumes.select("volume_id", axis("d").alias("z"), "h", "w")
+        by_cells(planes, F.col("h").cast("long") * F.col("w"), "volume_id", "z")
         .select("volume_id", "z", axis("h").alias("y"), "w")
         .select("volume_id", "z", "y", axis("w").alias("x"))
     )
@@ -169,13 +175,51 @@ def export_manifest(cases: DataFrame, name: str, channel: str = "CT") -> DataFra
     )
 
 
-def export_dataset(cases: DataFrame, voxels: DataFrame, path: str, name: str) -> DataFrame:
-    """Write the voxels of the exported cases by role; returns the manifest."""
+_EXPORTED = (
+    "version BIGINT, name STRING, n_train BIGINT, n_test BIGINT, labels STRING, channel_name STRING, scrolls STRING,"
+    " n_train_rows BIGINT, n_test_rows BIGINT"
+)
+
+
+def _exports(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.schema(_EXPORTED).json(f"{path}/manifest")
+    except Exception as error:  # noqa: BLE001 - only a missing path means nothing was exported
+        if "PATH_NOT_FOUND" not in str(error):
+            raise
+        return None
+
+
+def export_dataset(cases: DataFrame, voxels: DataFrame, path: str, name: str, version: int = 1) -> DataFrame:
+    """Write the voxels of the exported cases by role as one ``version``; returns its manifest row.
+
+    The version's folder is written first and counted as it was written; the manifest row that makes it visible to
+    :func:`read_export` is appended last, as one file. A run that breaks off leaves no visible version and is simply
+    repeated: its folder is replaced. A version that is visible already stays as it is.
+    """
+    spark = voxels.sparkSession
+    known = _exports(spark, path)
+    if known is not None and not known.filter(F.col("version") == version).isEmpty():
+        return known.filter(F.col("version") == version)
+    folder = f"{path}/version-{version}"
     rows = voxels.withColumnRenamed("volume_id", "case_id").join(cases.select("case_id", "role"), "case_id")
-    rows.write.mode("overwrite").partitionBy("role").parquet(f"{path}/voxels")
-    manifest = export_manifest(cases, name)
-    manifest.write.mode("overwrite").json(f"{path}/manifest")
-    return manifest
+    rows.repartition("role", "case_id", F.expr("z div 32")).write.mode("overwrite").partitionBy("role").parquet(folder)
+    written = spark.read.schema(rows.schema).parquet(folder).agg(
+        *[F.count_if(F.col("role") == r).alias(f"n_{r}_rows") for r in ("train", "test")])
+    manifest = export_manifest(cases, name).crossJoin(written).select(F.lit(version).cast("long").alias("version"), "*")
+    manifest.coalesce(1).write.mode("append").json(f"{path}/manifest")
+    return _exports(spark, path).filter(F.col("version") == version)
+
+
+def read_export(spark: SparkSession, path: str, version: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(manifest row, voxels with ``case_id`` and ``role``) of the newest or the given visible version."""
+    known = _exports(spark, path)
+    if known is not None and version is not None:
+        known = known.filter(F.col("version") == version)
+    newest = None if known is None else known.agg(F.max("version")).first()[0]
+    if newest is None:
+        raise FileNotFoundError(f"no exported version in {path}")
+    return known.filter(F.col("version") == newest), spark.read.parquet(f"{path}/version-{newest}")
 
 
 def write_masks(masks: DataFrame, path: str, overwrite: bool = False) -> DataFrame:
