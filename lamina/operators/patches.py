@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from lamina import model as M
 from lamina.functions.columns import axis_origins, unit_hash
+from lamina.operators.quantiles import quantiles
 from lamina.session import settle
 
 PATCH = ["volume_id", "pz", "py", "px"]
@@ -136,8 +137,8 @@ def normalize(
     elif method == "percentile":
         lo, hi = percentiles
         counts = rows.groupBy(*keys, v.alias("__v")).agg(F.count(F.lit(1)).alias("__n"))
-        found = counts.groupBy(*keys).agg(F.expr(f"percentile(__v, array({lo}D, {hi}D), __n)").alias("__q")).select(
-            *keys, F.col("__q")[0].alias("__a"), F.col("__q")[1].alias("__b")
+        found = quantiles(counts, keys, (lo, hi), "__v", "__n").select(
+            *keys, F.col("q")[0].alias("__a"), F.col("q")[1].alias("__b")
         )
         scaled = (F.least(F.greatest(v, F.col("__a")), F.col("__b")) - F.col("__a")) / (F.col("__b") - F.col("__a") + eps)
     else:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lamina import model as M
 from lamina.functions.columns import format_bytes, nearest_choice
+from lamina.operators.quantiles import quantiles
 
 # Patch depths that may be recommended.
 PATCH_DEPTHS = (32, 48, 64, 96, 128, 160, 192)
@@ -51,12 +52,11 @@ def _moments(values: DataFrame, key: str) -> DataFrame:
 
 def intensity_stats(voxels: DataFrame, volumes: DataFrame) -> DataFrame:
     values = labeled_values(voxels, volumes)
-    q = F.expr("percentile(value, array(0.01D, 0.5D, 0.99D), n)")
-    quantiles = values.groupBy("volume_id").agg(q.alias("q")).select(
+    ranks = quantiles(values, ["volume_id"], (0.01, 0.5, 0.99)).select(
         "volume_id", F.col("q")[0].alias("p01"), F.col("q")[1].alias("p50"), F.col("q")[2].alias("p99")
     )
     numbers = ["count", "min", "max", "mean", "std", "p01", "p50", "p99"]
-    found = _moments(values, "volume_id").join(quantiles, "volume_id")
+    found = _moments(values, "volume_id").join(ranks, "volume_id")
     return volumes.select("volume_id").join(found, "volume_id", "left").na.fill(0, numbers)
 
 
@@ -137,9 +137,9 @@ def surface_thickness(distances: DataFrame, volumes: DataFrame) -> DataFrame:
     counts = distances.filter("d2 > 0").groupBy("volume_id", "d2").agg(F.count(F.lit(1)).alias("n"))
     width = counts.withColumn("width", 2.0 * F.sqrt("d2"))
     stats = width.groupBy("volume_id").agg(
-        F.expr("percentile(width, array(0.5D, 0.9D), n)").alias("q"),
         (F.sum(F.col("width") * F.col("n")) / F.sum("n")).alias("mean_thickness"),
     )
+    stats = stats.join(quantiles(width, ["volume_id"], (0.5, 0.9), "width"), "volume_id")
     median = F.coalesce(F.col("q")[0], F.lit(0.0))
     raw = F.greatest(F.lit(32.0), F.least(F.lit(192.0), F.rint(median * 8 / 16) * 16))
     raw = F.when(median > 0, raw).otherwise(64.0)
@@ -163,8 +163,9 @@ def imbalance_report(voxels: DataFrame, volumes: DataFrame, patches: DataFrame)
         F.count(F.lit(1)).alias("num_patches"),
         F.avg((fraction > 0).cast("double")).alias("with_surface"),
         F.avg((fraction >= 0.01).cast("double")).alias("ge_1pct"),
-        F.percentile(fraction, 0.5).alias("median_fraction"),
     )
+    middle = quantiles(patches.withColumn("n", F.lit(1)), ["volume_id"], (0.5,), "foreground_ratio")
+    spread = spread.join(middle.select("volume_id", F.col("q")[0].alias("median_fraction")), "volume_id", "left")
     pos, ign = F.coalesce("pos", F.lit(0)), F.coalesce("ign", F.lit(0))
     neg = _cells() - pos - ign
     return volumes.join(counts, "volume_id", "left").join(spread, "volume_id", "left").select(
@@ -184,8 +185,11 @@ def scroll_domain_shift(voxels: DataFrame, volumes: DataFrame, bins: int = 64) -
     values = (
         labeled_values(voxels, volumes, ("scroll_id",)).groupBy("scroll_id", "value").agg(F.sum("n").alias("n"))
     )
-    shared = values.agg(F.expr("percentile(value, array(0.01D, 0.99D), n)").alias("r")).select(
-        F.col("r")[0].alias("lo"), F.col("r")[1].alias("hi")
+    low, high = F.col("q")[0], F.col("q")[1]
+    flat = low == high
+    # A range of one value is widened by one half on either side.
+    shared = quantiles(values, [], (0.01, 0.99)).select(
+        F.when(flat, low - 0.5).otherwise(low).alias("lo"), F.when(flat, high + 0.5).otherwise(high).alias("hi")
     )
     inside = (
         values.join(shared, (F.col("value") >= F.col("lo")) & (F.col("value") <= F.col("hi")))
@@ -210,7 +214,12 @@ def scroll_domain_shift(voxels: DataFrame, volumes: DataFrame, bins: int = 64) -
             ).alias("density")
         )
     )
-    one = _moments(values, "scroll_id").join(histogram, "scroll_id").join(density, "scroll_id")
+    # Scrolls without labelled values stay, with an empty histogram.
+    nothing = F.array(*[F.lit(0.0)] * bins)
+    one = (
+        density.join(_moments(values, "scroll_id"), "scroll_id", "left").join(histogram, "scroll_id", "left")
+        .na.fill(0, ["mean", "std"]).withColumn("hist", F.coalesce("hist", nothing))
+    )
     side = lambda s: one.select(*[F.col(c).alias(f"{c}_{s}") for c in ("scroll_id", "mean", "std", "hist", "density")])
     l1 = F.aggregate(
         F.zip_with("hist_a", "hist_b", lambda p, q: F.abs(p - q)), F.lit(0.0), lambda acc, v: acc + v
@@ -267,12 +276,8 @@ def mid_planes(voxels: DataFrame, volumes: DataFrame, value: str = "intensity")
 def stretch_plane(planes: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
     """Stretch each plane between two quantiles to 0..255, truncating."""
     key = ["volume_id", "plane"]
-    span = (
-        planes.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy(*key)
-        .agg(F.expr(f"percentile(value, array({low}D, {high}D), n)").alias("q"))
-        .select(*key, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
-    )
+    counts = planes.groupBy(*key, "value").agg(F.count(F.lit(1)).alias("n"))
+    span = quantiles(counts, key, (low, high)).select(*key, F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
     scaled = (F.col("value") - F.col("lo")) / F.nullif(F.col("hi") - F.col("lo"), F.lit(0.0)) * 255.0
     level = F.floor(F.greatest(F.lit(0.0), F.least(F.lit(255.0), scaled))).cast("int")
     return planes.join(span, key).select(
