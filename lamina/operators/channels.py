@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from math import exp
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lamina import model as M
 from lamina.functions.columns import argmax_label
@@ -16,6 +19,9 @@ AFFINITY_OFFSETS = tuple(
     tuple(reach if axis == k else 0 for k in range(3)) for reach in (1, 2, 4, 8, 16) for axis in range(3)
 )
 
+#: Side of the cubes that filters work on.
+TILE = 32
+
 
 def gaussian_kernel(sigma: float) -> list[float]:
     """Normalised weights for offsets ``0..radius`` with ``radius = int(4 sigma + 0.5)``."""
@@ -25,54 +31,69 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [w / total for w in raw]
 
 
-def gaussian_blur(voxels: DataFrame, volumes: DataFrame, sigma: float = 1.0, value: str = "intensity") -> DataFrame:
-    """Separable blur; values mirror at the faces, edge cell included.
-
-    Each stored voxel hands its weighted value to the cells it reaches, its mirror
-    images included. The x and y passes run inside one z slab, the z pass inside one y
-    slab: two shuffles of the plain rows, none of the weighted ones.
-    """
-    rows = voxels.select(*M.VOXEL, F.col(value).cast("double").alias("v"))
-    dims = volumes.select("volume_id", "d", "h", "w")
-    for slab, passes in (("z", (("x", "w"), ("y", "h"))), ("y", (("z", "d"),))):
-        rows = rows.repartition("volume_id", slab)
-        for axis, size in passes:
-            rows = _blur_axis(rows, dims, axis, size, gaussian_kernel(sigma))
-    return rows.withColumnRenamed("v", "blurred")
-
-
-def _blur_axis(rows: DataFrame, dims: DataFrame, axis: str, size: str, kernel: list[float]) -> DataFrame:
-    radius = len(kernel) - 1
-    at, n = F.col(axis), F.col("n")
-    weights = F.array(*[F.lit(w) for w in kernel])
-    # Mirror images of cell i lie at 2nm + i and 2nm - 1 - i.
-    periods = F.expr(f"sequence(-CAST({radius} div (2 * n) AS INT) - 1, CAST({radius} div (2 * n) AS INT) + 1)")
-    images = F.flatten(
-        F.transform(F.col("periods"), lambda m: F.array(2 * n * m + at, 2 * n * m - 1 - at))
-    )
-    reached = F.filter(images, lambda p: (p >= -radius) & (p < n + radius))
-    targets = rows.join(dims.select("volume_id", F.col(size).alias("n")), "volume_id").withColumn("periods", periods)
-    spread = targets.withColumn("image", F.explode(reached)).withColumn(
-        "to", F.explode(F.sequence(F.greatest(F.lit(0), F.col("image") - radius), F.least(n - 1, F.col("image") + radius)))
-    )
-    rest = [c for c in M.COORDS if c != axis]
-    return (
-        spread.select(
-            "volume_id",
-            *rest,
-            F.col("to").alias(axis),
-            (F.col("v") * F.element_at(weights, F.abs(F.col("to") - F.col("image")) + 1)).alias("v"),
-        )
-        .groupBy(*M.VOXEL)
-        .agg(F.sum("v").alias("v"))
-    )
+def gaussian_blur(
+    voxels: DataFrame, volumes: DataFrame, sigma: float = 1.0, value: str = "intensity", tile: int = TILE
+) -> DataFrame:
+    """Separable blur of every cell that a stored voxel reaches; values mirror at the faces, edge cell included."""
+    return _filtered(voxels, volumes, sigma, value, tile, "blurred", lambda own, blurred: blurred)
 
 
-def highpass_channel(voxels: DataFrame, volumes: DataFrame, sigma: float = 1.0, value: str = "intensity") -> DataFrame:
+def highpass_channel(
+    voxels: DataFrame, volumes: DataFrame, sigma: float = 1.0, value: str = "intensity", tile: int = TILE
+) -> DataFrame:
     """Value minus its blur, for every cell where either is stored."""
-    blurred = gaussian_blur(voxels, volumes, sigma, value).select(*M.VOXEL, (-F.col("blurred")).alias("highpass"))
-    own = voxels.select(*M.VOXEL, F.col(value).cast("double").alias("highpass"))
-    return own.unionByName(blurred).groupBy(*M.VOXEL).agg(F.sum("highpass").alias("highpass"))
+    return _filtered(voxels, volumes, sigma, value, tile, "highpass", lambda own, blurred: own - blurred)
+
+
+def _filtered(
+    voxels: DataFrame, volumes: DataFrame, sigma: float, value: str, tile: int, name: str,
+    combine: Callable[[np.ndarray, np.ndarray], np.ndarray],
+) -> DataFrame:
+    """One shuffle for all three passes: cubes of ``tile`` cells with a copied border.
+
+    A voxel goes to every cube within the kernel's reach of it or of one of its mirror images. A cube with its border
+    is a dense array of fixed size in its task, whatever the volume holds.
+    """
+    kernel = gaussian_kernel(sigma)
+    reach = len(kernel) - 1
+    rows = voxels.select(*M.VOXEL, F.col(value).cast("double").alias("v")).join(
+        volumes.select("volume_id", "d", "h", "w"), "volume_id")
+    for axis, size in zip(M.COORDS, ("d", "h", "w")):
+        rows = rows.withColumn(f"p{axis}", F.explode(_placed(F.col(axis), F.col(size), reach, tile)))
+    rows = rows.select("volume_id", *[F.col(f"p{c}.t").alias(f"t{c}") for c in M.COORDS],
+                       *[F.col(f"p{c}.p").alias(f"p{c}") for c in M.COORDS], "d", "h", "w", "v")
+
+    def treat(rows: pd.DataFrame) -> pd.DataFrame:
+        start = [int(rows[f"t{c}"].iloc[0]) * tile for c in M.COORDS]
+        shape = [min(tile, int(rows[n].iloc[0]) - a) + 2 * reach for n, a in zip("dhw", start)]
+        at = tuple(rows[f"p{c}"].to_numpy() - a + reach for c, a in zip(M.COORDS, start))
+        own, stored = np.zeros(shape), np.zeros(shape, bool)
+        np.add.at(own, at, rows["v"].to_numpy())
+        stored[at] = True
+        blurred, reached = own, stored
+        for axis in range(3):
+            n = blurred.shape[axis] - 2 * reach
+            parts = [blurred.take(range(k, k + n), axis) for k in range(2 * reach + 1)]
+            blurred = sum(p * kernel[abs(k - reach)] for k, p in enumerate(parts))
+            reached = np.logical_or.reduce([reached.take(range(k, k + n), axis) for k in range(2 * reach + 1)])
+        inner = own[tuple(slice(reach, n - reach) for n in shape)]
+        found = np.nonzero(reached)
+        cells = {c: (i + a).astype(np.int32) for c, i, a in zip(M.COORDS, found, start)}
+        return pd.DataFrame({"volume_id": rows["volume_id"].iloc[0], **cells, name: combine(inner, blurred)[found]})
+
+    out = T.StructType([voxels.schema["volume_id"], *[T.StructField(c, T.IntegerType()) for c in M.COORDS], T.StructField(name, T.DoubleType())])
+    return rows.groupBy("volume_id", "tz", "ty", "tx").applyInPandas(treat, out)
+
+
+def _placed(at: Column, n: Column, reach: int, tile: int) -> Column:
+    """(p, t): where a cell or a mirror image of it lies in the border of which tiles along one axis."""
+    # Mirror images of cell i lie at 2nm + i and 2nm - 1 - i.
+    turns = (F.lit(reach) / (2 * n)).cast("int") + 1
+    images = F.flatten(F.transform(F.sequence(-turns, turns), lambda m: F.array(2 * n * m + at, 2 * n * m - 1 - at)))
+    near = F.filter(images, lambda p: (p >= -reach) & (p < n + reach))
+    return F.flatten(F.transform(near, lambda p: F.transform(
+        F.sequence(F.greatest(F.floor((p - reach) / tile), F.lit(0)), F.least(F.floor((p + reach) / tile), F.floor((n - 1) / tile))),
+        lambda t: F.struct(p.cast("int").alias("p"), t.cast("int").alias("t")))))
 
 
 def ensemble(probs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -95,22 +116,35 @@ def ensemble(probs: DataFrame, weights: dict[str, float] | None = None) -> DataF
     weight = F.lit(1.0)
     for name, w in (weights or {}).items():
         weight = F.when(F.col("model") == name, float(w)).otherwise(weight)
-    classes = probs.join(common, "volume_id", "left_semi").select(
-        *M.VOXEL, weight.alias("weight"), F.posexplode("p").alias("k", "q")
-    )
-    sums = classes.groupBy(*M.VOXEL, "k").agg(F.sum(F.col("q") * F.col("weight")).alias("q"))
-    # The class list of one voxel is as short as the list of classes.
-    return (
-        sums.groupBy(*M.VOXEL)
-        .agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "q"))), lambda e: e["q"]).alias("p"))
-        .select(*M.VOXEL, "p", argmax_label("p").alias("label"))
-    )
+    weighted = probs.join(common, "volume_id", "left_semi").select(
+        *M.VOXEL, "model", F.transform("p", lambda q: q * weight).alias("q"))
+    # The list of a voxel is as short as the list of models; it is summed in the models' order.
+    sums = F.aggregate(
+        F.sort_array(F.collect_list(F.struct("model", "q"))), F.array().cast("array<double>"),
+        lambda acc, m: F.zip_with(acc, m["q"], lambda a, b: F.coalesce(a, F.lit(0.0)) + F.coalesce(b, F.lit(0.0))))
+    return weighted.groupBy(*M.VOXEL).agg(sums.alias("p")).select(*M.VOXEL, "p", argmax_label("p").alias("label"))
+
 
+def binarize(rows: DataFrame, threshold: float = 0.5, surface: int = M.SURFACE) -> DataFrame:
+    """Mask from stored predictions: class vectors ``p``, floating ``value`` or integer ``label`` rows.
 
-def binarize_probs(probs: DataFrame, surface: int = M.SURFACE) -> DataFrame:
-    """Mask from class vectors: the surface channel at one half, or any winner if it has no channel."""
-    threshold = F.when(F.size("p") > surface, F.get("p", F.lit(surface)) >= 0.5).otherwise(argmax_label("p") > 0)
-    return probs.filter(threshold).select(*M.VOXEL)
+    Rows with none of these columns are a mask already.
+    """
+    if "p" in rows.columns:
+        return binarize_probs(rows, surface, threshold)
+    if "value" in rows.columns:
+        return binarize_values(rows, "value", threshold)
+    return binarize_labels(rows, surface) if "label" in rows.columns else rows.select(*M.VOXEL)
+
+
+def binarize_probs(probs: DataFrame, surface: int = M.SURFACE, threshold: float = 0.5) -> DataFrame:
+    """Mask from class vectors: the surface channel at ``threshold``.
+
+    Vectors without that channel give the winning class, which is then read as a label map.
+    """
+    own = probs.filter(F.size("p") > surface).filter(F.get("p", F.lit(surface)) >= threshold).select(*M.VOXEL)
+    winners = probs.filter(F.size("p") <= surface).select(*M.VOXEL, argmax_label("p").alias("label"))
+    return own.unionByName(binarize_labels(winners, surface))
 
 
 def binarize_values(values: DataFrame, value: str, threshold: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ from lamina import model as M
 from lamina.functions.stencils import ball_spans
 from lamina.operators import components as C
 from lamina.operators import packed as P
+from lamina.operators.channels import binarize
 from lamina.operators.gaps import patch_gaps
 from lamina.session import settle
 
@@ -93,11 +94,15 @@ def close_components(runs: DataFrame, volumes: DataFrame, radius: int) -> DataFr
 def run_stages(
     mask: DataFrame, volumes: DataFrame, settings: M.CleanupSettings = M.CleanupSettings(), through: str = "fill"
 ) -> dict[str, DataFrame]:
-    """The mask after every stage up to ``through``; each stage starts from the one before."""
+    """The mask after every stage up to ``through``; each stage starts from the one before.
+
+    ``mask`` may also hold predictions (see :func:`lamina.operators.channels.binarize`); they are binarised first.
+    """
     if through not in M.STAGES:
         raise ValueError(f"unknown stage {through}")
     wanted = M.STAGES[: M.STAGES.index(through) + 1]
-    out = {"raw": mask.select(*M.VOXEL).distinct()}
+    mask = settle(binarize(mask, settings.threshold, settings.surface_label).distinct())
+    out = {"raw": mask}
     if through == "raw":
         return out
     kept = settle(C.large_runs(C.component_runs(mask, volumes, settings.connectivity), settings.min_size))
