@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lamina import session
 from lamina.functions import columns as K
 from lamina.functions.stencils import ball_offsets, cross_spans
 from lamina.operators import stats, validate
@@ -129,23 +130,53 @@ def case_subset(spark, folder):
 
 
 @query(
-    "export_dataset",
+    "export_manifest",
     f"""{_INDEX} SELECT 'sheets' AS name, (SELECT count(*) FROM idx WHERE status = 'indexed') AS n_train,
 (SELECT count(*) FROM test_images) AS n_test, 'background=0,surface=1,ignore=2' AS labels, 'CT' AS channel_name,
 (SELECT string_agg(DISTINCT scroll_id, ',' ORDER BY scroll_id) FROM idx WHERE status = 'indexed') AS scrolls""",
 )
-def export_dataset(spark, folder):
+def export_manifest(spark, folder):
     train = _index(spark, folder).filter("status = 'indexed'")
     return G.export_manifest(G.export_cases(train, X.catalog(spark, folder)["test_images"]), "sheets")
 
 
+@query(
+    "export_dataset",
+    f"""{VOX}, c AS (SELECT volume_id, scroll_id, CASE WHEN scroll_id = 's1' THEN 'test' ELSE 'train' END AS role FROM volumes)
+SELECT role, CAST(2 AS BIGINT) AS version, (SELECT count(*) FROM c WHERE role = 'train') AS n_train, (SELECT count(*) FROM c WHERE role = 'test') AS n_test,
+(SELECT string_agg(DISTINCT scroll_id, ',' ORDER BY scroll_id) FROM c WHERE role = 'train') AS scrolls,
+count(DISTINCT volume_id) AS n_cases, count(*) AS n_rows, round(sum(intensity), 2) AS intensity,
+count(*) = (SELECT count(*) FROM vox JOIN c d USING (volume_id) WHERE d.role = c.role) AS as_announced
+FROM vox JOIN c USING (volume_id) GROUP BY role""",
+    derive_once=True,
+)
+def export_dataset(spark, folder):
+    """Two versions are written, the second one twice; what a reader then gets is counted."""
+    path = session.shared_folder(spark, "export")
+    volumes, voxels = X.volumes(spark, folder), X.voxels(spark, folder)
+    train = volumes.filter("scroll_id != 's1'").select("volume_id", "scroll_id")
+    cases = G.export_cases(train, volumes.filter("scroll_id = 's1'").select(F.col("volume_id").alias("id")))
+    for version in (1, 2, 2):
+        G.export_dataset(cases, voxels.filter("z > 2") if version == 1 else voxels, path, "sheets", version)
+    manifest, rows = G.read_export(spark, path)
+    announced = F.when(F.col("role") == "train", F.col("n_train_rows")).otherwise(F.col("n_test_rows"))
+    found = rows.groupBy("role").agg(
+        F.count_distinct("case_id").alias("n_cases"), F.count(F.lit(1)).alias("n_rows"), F.round(F.sum("intensity"), 2).alias("intensity"))
+    return found.crossJoin(manifest).select(
+        "role", "version", "n_train", "n_test", "scrolls", "n_cases", "n_rows", "intensity", (F.col("n_rows") == announced).alias("as_announced"))
+
+
+_DTYPE = "CASE WHEN CAST(substr(volume_id, 2) AS INT) % 5 = 3 THEN 'float32' ELSE 'uint8' END"
+
+
 @query(
     "submission_check",
-    f"""{VOX}, p AS (SELECT volume_id, max(z) + 1 = 24 AND max(y) + 1 = 24 AND max(x) + 1 = 24 AS shape_ok, true AS dtype_ok
-FROM vox GROUP BY 1) SELECT *, (SELECT bool_and(shape_ok AND dtype_ok) FROM p) AS all_ok FROM p""",
+    f"""{VOX}, p AS (SELECT volume_id, max(z) + 1 = any_value(d) AND max(y) + 1 = any_value(h) AND max(x) + 1 = any_value(w) AS shape_ok,
+ any_value({_DTYPE}) = 'uint8' AS dtype_ok FROM vox JOIN volumes USING (volume_id) GROUP BY 1)
+SELECT *, (SELECT bool_and(shape_ok AND dtype_ok) FROM p) AS all_ok FROM p""",
 )
 def submission_check(spark, folder):
-    shapes = G.probe_volumes(X.voxels(spark, folder)).withColumn("dtype", F.lit("uint8"))
+    shapes = G.probe_volumes(X.voxels(spark, folder)).withColumn("dtype", F.expr(_DTYPE))
     return G.submission_check(shapes, X.volumes(spark, folder))
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lamina.functions import columns as K
@@ -161,7 +164,7 @@ _BLUR = f"""{VOX}, raw AS (SELECT volume_id, z, y, x, intensity AS v FROM vox),
 
 @query("gaussian_blur", f"{_BLUR} SELECT volume_id, z, y, x, round(v, 4) AS blurred FROM b3")
 def gaussian_blur(spark, folder):
-    return _rounded(H.gaussian_blur(X.voxels(spark, folder), X.volumes(spark, folder)), 4, "blurred")
+    return _rounded(H.gaussian_blur(X.voxels(spark, folder), X.volumes(spark, folder), tile=16), 4, "blurred")
 
 
 @query(
@@ -169,7 +172,7 @@ def gaussian_blur(spark, folder):
     f"{_BLUR} SELECT volume_id, z, y, x, round(coalesce(r.v, 0) - coalesce(b.v, 0), 4) AS highpass FROM raw r FULL JOIN b3 b USING (volume_id, z, y, x)",
 )
 def highpass_channel(spark, folder):
-    return _rounded(H.highpass_channel(X.voxels(spark, folder), X.volumes(spark, folder)), 4, "highpass")
+    return _rounded(H.highpass_channel(X.voxels(spark, folder), X.volumes(spark, folder), tile=16), 4, "highpass")
 
 
 # --- probabilities ----------------------------------------------------------------------------------
@@ -184,14 +187,12 @@ def argmax_label(spark, folder):
 @query(
     "ensemble",
     f"""{VOX}, e AS (SELECT volume_id, z, y, x, CAST(0.65 AS DOUBLE) * (1 - prob) + CAST(0.35 AS DOUBLE) * (1 - tax) AS a, CAST(0.65 AS DOUBLE) * prob + CAST(0.35 AS DOUBLE) * tax AS b FROM vox WHERE volume_id <> 'v0')
-SELECT volume_id, z, y, x, round(a, 6) AS p0, round(b, 6) AS p1, CASE WHEN round(b, 6) > round(a, 6) THEN 1 ELSE 0 END AS label FROM e""",
+SELECT volume_id, z, y, x, round(a, 6) AS p0, round(b, 6) AS p1, CASE WHEN b > a THEN 1 ELSE 0 END AS label FROM e""",
     derive_once=True,
 )
 def ensemble(spark, folder):
     out = H.ensemble(X.model_probs(spark, folder), {"a": 0.65, "b": 0.35})
-    exact = F.transform("p", lambda v: F.round(v, 6))
-    out = out.withColumn("p", exact)
-    return out.select("volume_id", "z", "y", "x", F.col("p")[0].alias("p0"), F.col("p")[1].alias("p1"), K.argmax_label("p").alias("label"))
+    return out.select("volume_id", "z", "y", "x", F.round(F.col("p")[0], 6).alias("p0"), F.round(F.col("p")[1], 6).alias("p1"), "label")
 
 
 @query(
@@ -199,16 +200,22 @@ def ensemble(spark, folder):
     f"""{VOX}, l AS (SELECT volume_id, z, y, x, CASE WHEN scroll_id = 's0' THEN label % 2 ELSE label END AS label FROM vox JOIN volumes USING (volume_id))
 SELECT volume_id, z, y, x, 'labels' AS kind FROM l WHERE label = 1
 UNION ALL SELECT volume_id, z, y, x, 'values' FROM vox WHERE tax >= 0.5
-UNION ALL SELECT volume_id, z, y, x, 'probs' FROM vox WHERE prob >= 0.5""",
+UNION ALL SELECT volume_id, z, y, x, 'probs' FROM vox WHERE prob >= 0.7
+UNION ALL SELECT volume_id, z, y, x, 'winners' FROM vox WHERE prob > 1 - prob""",
 )
 def binarize(spark, folder):
     v = X.voxels(spark, folder)
     scroll = v.join(X.volumes(spark, folder).select("volume_id", "scroll_id"), "volume_id")
     mixed = scroll.withColumn("label", F.when(F.col("scroll_id") == "s0", F.col("label") % 2).otherwise(F.col("label")))
-    probs = X.model_probs(spark, folder).filter("model = 'a'")
-    parts = {"labels": H.binarize_labels(mixed), "values": H.binarize_values(v, "tax"), "probs": H.binarize_probs(probs)}
-    tagged = [m.withColumn("kind", F.lit(k)) for k, m in parts.items()]
-    return tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    probs = X.model_probs(spark, folder).filter("model = 'a'").drop("model")
+    parts = {
+        "labels": H.binarize(mixed.select("volume_id", "z", "y", "x", "label")),
+        "values": H.binarize(v.select("volume_id", "z", "y", "x", F.col("tax").alias("value"))),
+        "probs": H.binarize(probs, 0.7),
+        # Two classes, so there is no channel 2: the winners are a map of 0 and 1.
+        "winners": H.binarize(probs, surface=2),
+    }
+    return reduce(DataFrame.unionByName, [m.withColumn("kind", F.lit(k)) for k, m in parts.items()])
 
 
 # --- targets ------------------------------------------------------------------------------------------
@@ -241,18 +248,43 @@ def affinity_unmasked(spark, folder):
     return _targets(spark, folder, background=True)
 
 
+_AGREEMENT = f"""{affinity_sql(False)}, j AS (SELECT oz, oy, ox, a.volume_id, affinity AS t, coalesce(prob * 4 - 2, 0) AS g FROM aff a LEFT JOIN vox USING (volume_id, z, y, x) WHERE affinity >= 0),
+agree AS (SELECT volume_id, oz, oy, ox, count(*) AS n_valid, avg(greatest(g, 0) - g * t + ln(1 + exp(-abs(g)))) AS bce,
+(2 * sum(t / (1 + exp(-g))) + 1e-5::DOUBLE) / (sum(1 / (1 + exp(-g))) + sum(t) + 1e-5::DOUBLE) AS soft_dice FROM j GROUP BY 1, 2, 3, 4)"""
+
+
+def _agreement(spark, folder, offsets=None):
+    v = X.voxels(spark, folder).select("volume_id", "z", "y", "x", (F.col("prob") * 4 - 2).alias("logit"))
+    taps = F.array(*[F.struct(*[F.lit(c).alias(n) for c, n in zip(o, ("oz", "oy", "ox"))]) for o in _OFFSETS])
+    logits = v.withColumn("tap", F.explode(taps)).select("volume_id", "z", "y", "x", "logit", "tap.*")
+    return score.affinity_agreement(_targets(spark, folder), logits, offsets=offsets)
+
+
 @query(
     "affinity_agreement",
-    f"""{affinity_sql(False)}, j AS (SELECT oz, oy, ox, a.volume_id, affinity AS t, coalesce(prob * 4 - 2, 0) AS g FROM aff a LEFT JOIN vox USING (volume_id, z, y, x) WHERE affinity >= 0)
-SELECT volume_id, oz, oy, ox, count(*) AS n_valid, round(avg(greatest(g, 0) - g * t + ln(1 + exp(-abs(g)))), 6) AS bce,
-round((2 * sum(t / (1 + exp(-g))) + 1e-5::DOUBLE) / (sum(1 / (1 + exp(-g))) + sum(t) + 1e-5::DOUBLE), 6) AS soft_dice FROM j GROUP BY 1, 2, 3, 4""",
+    f"{_AGREEMENT} SELECT volume_id, oz, oy, ox, n_valid, round(bce, 6) AS bce, round(soft_dice, 6) AS soft_dice FROM agree",
     derive_once=True,
 )
 def affinity_agreement(spark, folder):
-    v = X.voxels(spark, folder).select("volume_id", "z", "y", "x", (F.col("prob") * 4 - 2).alias("logit"))
-    taps = F.array(*[F.struct(*[F.lit(c).alias(n) for c, n in zip(o, ("oz", "oy", "ox"))]) for o in _OFFSETS])
-    logits = v.withColumn("tap", F.explode(taps)).select("volume_id", "z", "y", "x", "logit", "tap.*")
-    return _rounded(score.affinity_agreement(_targets(spark, folder), logits), 6, "bce", "soft_dice")
+    return _rounded(_agreement(spark, folder), 6, "bce", "soft_dice")
+
+
+# One more offset than was asked of any pair: it has no valid pairs.
+_ASKED = (*_OFFSETS, (0, 0, 16))
+
+
+@query(
+    "affinity_summary",
+    f"""{_AGREEMENT}, asked AS (SELECT volume_id, o.* FROM volumes CROSS JOIN (VALUES {', '.join(map(str, _ASKED))}) o(oz, oy, ox)),
+every AS (SELECT volume_id, coalesce(n_valid, 0) AS n, coalesce(bce, 0) AS bce, coalesce(soft_dice, 1) AS dice FROM asked LEFT JOIN agree USING (volume_id, oz, oy, ox)),
+s AS (SELECT volume_id, coalesce(sum(bce * n) / nullif(sum(n), 0), 0) AS bce, avg(dice) AS dice FROM every GROUP BY 1)
+SELECT volume_id, round(bce, 6) AS bce, round(dice, 6) AS soft_dice, round(CAST(0.5 AS DOUBLE) * bce + CAST(0.5 AS DOUBLE) * (1 - dice), 6) AS combined FROM s""",
+    derive_once=True,
+)
+def affinity_summary(spark, folder):
+    taps = F.array(*[F.struct(*[F.lit(c).alias(n) for c, n in zip(o, ("oz", "oy", "ox"))]) for o in _ASKED])
+    asked = X.volumes(spark, folder).select("volume_id", F.inline(taps))
+    return _rounded(score.affinity_summary(_agreement(spark, folder, asked)), 6, "bce", "soft_dice", "combined")
 
 
 # A sparse stand-in skeleton: surface voxels on every third diagonal plane.
@@ -270,13 +302,18 @@ def tube_mask(spark, folder):
     return P.tube_mask(skeleton, X.truth(spark, folder), X.volumes(spark, folder))
 
 
+# Some volumes have no skeleton at all.
+_BONES = "(z + y + x) % 3 = 0 AND volume_id <> 'v0'"
+
+
 @query(
     "skeleton_recall",
-    f"""{VOX} SELECT volume_id, count(*) AS n_skeleton, (sum(prob) + 1) / (count(*) + 1) AS skeleton_recall FROM vox WHERE (z + y + x) % 3 = 0 AND label <> 2 GROUP BY 1""",
+    f"""{VOX}, s AS (SELECT * FROM vox WHERE {_BONES} AND label <> 2)
+SELECT volume_id, count(s.z) AS n_skeleton, (coalesce(sum(prob), 0) + 1) / (count(s.z) + 1) AS skeleton_recall FROM volumes LEFT JOIN s USING (volume_id) GROUP BY 1""",
 )
 def skeleton_recall(spark, folder):
     v = X.voxels(spark, folder)
-    return score.skeleton_recall(v, v.filter("(z + y + x) % 3 = 0"), v)
+    return score.skeleton_recall(v, v.filter(_BONES), v, X.volumes(spark, folder))
 
 
 @query(

@@ -82,11 +82,19 @@ def worst_k_overlap(spark, folder):
     return report.worst_k_overlap(report.worst_k(X.case_scores(spark, folder), 1000))
 
 
-@query("mean_score", f"{SCORES} SELECT count(*) AS n_cases, round(avg(score), 6) AS mean_score FROM scores WHERE condition = 'control'")
+@query(
+    "mean_score",
+    f"""{SCORES} SELECT count(*) AS n_cases, round(avg(score), 6) AS mean_score FROM orders
+LEFT JOIN scores ON case_id = CAST(o_orderkey AS VARCHAR) AND condition = 'control' WHERE o_orderkey % 3 <> 0""",
+)
 def mean_score(spark, folder):
-    s = X.case_scores(spark, folder).filter("condition = 'control'")
-    ids = s.select("case_id")
-    return _round(report.mean_score(ids, ids, ids, s))
+    """Every second and third case is asked for; predictions, labels and scores are tables of their own."""
+    scores = X.case_scores(spark, folder)
+    ids = X.table(spark, folder, "orders").select("o_orderkey", F.col("o_orderkey").cast("string").alias("case_id"))
+    predictions = scores.filter("condition = 'proposed'").select("case_id")
+    labels = X.table(spark, folder, "lineitem").select(F.col("l_orderkey").cast("string").alias("case_id")).distinct().unionByName(
+        ids.select("case_id")).distinct()
+    return _round(report.mean_score(ids.filter("o_orderkey % 3 <> 0"), predictions, labels, scores.filter("condition = 'control'")))
 
 
 # --- splits -----------------------------------------------------------------------------------------
@@ -216,12 +224,12 @@ def load_scores_latest(spark, folder):
 
 @query(
     "score_pairs",
-    """SELECT CAST(c_custkey AS VARCHAR) AS volume_id, CASE WHEN c_custkey % 7 = 0 THEN 'done' WHEN c_custkey % 19 = 0 THEN 'missing'
-WHEN c_custkey % 5 = 0 THEN 'shape_mismatch' ELSE 'score' END AS status FROM customer WHERE c_custkey % 17 <> 0""",
+    """SELECT CAST(c_custkey AS VARCHAR) AS volume_id, CASE WHEN c_custkey % 7 = 0 THEN 'done' WHEN c_custkey % 17 = 0 THEN 'missing_prediction'
+WHEN c_custkey % 19 = 0 THEN 'missing' WHEN c_custkey % 5 = 0 THEN 'shape_mismatch' ELSE 'score' END AS status FROM customer WHERE c_custkey % 11 <> 0""",
 )
 def score_pairs(spark, folder):
     c = X.table(spark, folder, "customer").select("c_custkey", F.col("c_custkey").cast("string").alias("volume_id"))
     dims = lambda df, d: df.select("volume_id", d.alias("d"), F.lit(24).alias("h"), F.lit(24).alias("w"))
     predictions = dims(c.filter("c_custkey % 17 <> 0"), F.when(F.col("c_custkey") % 5 == 0, 23).otherwise(24))
     labels = dims(c.filter("c_custkey % 19 <> 0"), F.lit(24))
-    return S.score_pairs(predictions, labels, c.filter("c_custkey % 7 = 0"))
+    return S.score_pairs(predictions, labels, c.filter("c_custkey % 7 = 0"), c.filter("c_custkey % 11 <> 0"))

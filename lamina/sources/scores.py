@@ -32,15 +32,17 @@ def latest(rows: DataFrame, order: str) -> DataFrame:
 
 
 def score_pairs(
-    predictions: DataFrame, labels: DataFrame, done: DataFrame | None = None
+    predictions: DataFrame, labels: DataFrame, done: DataFrame | None = None, cases: DataFrame | None = None
 ) -> DataFrame:
     """What is to be done with each case of a condition, from shape tables ``volume_id, d, h, w``.
 
-    ``status`` is ``score``, ``missing`` (no label), ``shape_mismatch`` or ``done``.
+    ``cases`` names the requested ones; without it they are those with a prediction. ``status`` is ``done``,
+    ``missing_prediction``, ``missing`` (no label), ``shape_mismatch`` or ``score``.
     """
     p = predictions.select("volume_id", *[F.col(c).alias(f"p{c}") for c in "dhw"])
     t = labels.select("volume_id", "d", "h", "w")
-    rows = p.join(t, "volume_id", "left")
+    asked = (predictions if cases is None else cases).select("volume_id").distinct()
+    rows = asked.join(p, "volume_id", "left").join(t, "volume_id", "left")
     if done is not None:
         rows = rows.join(done.select("volume_id", F.lit(True).alias("was")).distinct(), "volume_id", "left")
     else:
@@ -48,6 +50,13 @@ def score_pairs(
     same = (F.col("pd") == F.col("d")) & (F.col("ph") == F.col("h")) & (F.col("pw") == F.col("w"))
     return rows.select(
         "volume_id",
-        F.when(F.col("was"), "done").when(F.col("d").isNull(), "missing").when(~same, "shape_mismatch")
-        .otherwise("score").alias("status"),
+        F.when(F.col("was"), "done").when(F.col("pd").isNull(), "missing_prediction").when(F.col("d").isNull(), "missing")
+        .when(~same, "shape_mismatch").otherwise("score").alias("status"),
     )
+
+
+def append_scores(scores: DataFrame, path: str, condition: str) -> None:
+    """Append scored volumes as case rows of a condition, which :func:`load_scores_latest` reads back."""
+    known = [c.split()[0] for c in SCORE_SCHEMA.split(", ")]
+    rows = scores.withColumnRenamed("volume_id", "case_id").withColumn("condition", F.lit(condition))
+    rows.select("condition", *[c for c in known if c in rows.columns]).write.mode("append").partitionBy("condition").json(path)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lamina.operators import channels, components, score
 from lamina.sources import scores as S
-from lamina.streaming.incremental import score_incrementally
+from lamina.streaming.incremental import announce, score_incrementally
 from tests import brute as B
 
 
@@ -58,16 +58,28 @@ def test_stream_equals_batch_and_resumes(spark, tmp_path):
     path = str(tmp_path)
 
     def run():
-        score_incrementally(spark, path + "/in", truth, volumes, path + "/out", path + "/state").awaitTermination()
-        return {r.volume_id: r.score for r in spark.read.parquet(path + "/out").collect()}
-
-    mask.filter("volume_id = 'ring'").write.parquet(path + "/in")
-    assert set(run()) == {"ring"}
-    mask.write.mode("append").parquet(path + "/in")
-    got = run()
-    want = {r.volume_id: r.score for r in score.case_score(mask, truth, volumes).collect() if r.volume_id != "none"}
-    assert got == want
-    assert spark.read.parquet(path + "/out").count() == 3
+        query = score_incrementally(spark, path + "/in", path + "/manifest", truth, volumes, path + "/out", path + "/state")
+        query.awaitTermination()
+        try:
+            return {r.volume_id: r.score for r in spark.read.parquet(path + "/out").collect()}
+        except Exception:  # noqa: BLE001 - nothing was scored yet
+            return {}
+
+    want = {r.volume_id: r.score for r in score.case_score(mask, truth, volumes).collect()}
+    ring = mask.filter("volume_id = 'ring'")
+    announce(ring, volumes.filter("volume_id = 'ring'"), path + "/manifest")
+    ring.filter("z < 2").write.parquet(path + "/in")
+    assert run() == {}  # half of it has landed
+    ring.filter("z >= 2").write.mode("append").parquet(path + "/in")
+    assert run() == {"ring": want["ring"]}
+    rest = mask.filter("volume_id != 'ring'")
+    rest.write.mode("append").parquet(path + "/in")
+    assert set(run()) == {"ring"}  # not announced yet
+    # The empty volume has no row and is scored as well.
+    announce(rest, volumes.filter("volume_id != 'ring'"), path + "/manifest")
+    assert run() == want and "none" in want
+    assert run() == want
+    assert spark.read.parquet(path + "/out").count() == len(want)
 
 
 def test_scores_resume(spark, tmp_path):

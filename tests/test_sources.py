@@ -40,10 +40,22 @@ def test_export_writes_roles(spark, tmp_path):
     held = spark.createDataFrame([("z",)], "id STRING")
     cases = G.export_cases(index, held, max_train=2)
     voxels = spark.createDataFrame([(i, 0, 0, 0) for i in "abcz"], "volume_id STRING, z INT, y INT, x INT")
-    manifest = G.export_dataset(cases, voxels, str(tmp_path / "out"), "demo").first()
-    assert (manifest.n_train, manifest.n_test, manifest.scrolls) == (2, 1, "s")
-    back = spark.read.parquet(str(tmp_path / "out/voxels"))
-    assert {(r.case_id, r.role) for r in back.collect()} == {("a", "train"), ("b", "train"), ("z", "test")}
+    path = str(tmp_path / "out")
+    with pytest.raises(FileNotFoundError):
+        G.read_export(spark, path)
+    # What a broken run left is no version and is replaced.
+    voxels.withColumnRenamed("volume_id", "case_id").withColumn("role", F.lit("train")).write.partitionBy("role").parquet(path + "/version-1")
+    with pytest.raises(FileNotFoundError):
+        G.read_export(spark, path)
+    manifest = G.export_dataset(cases, voxels, path, "demo").first()
+    assert (manifest.n_train, manifest.n_test, manifest.scrolls, manifest.n_train_rows, manifest.n_test_rows) == (2, 1, "s", 2, 1)
+    kept = {("a", "train"), ("b", "train"), ("z", "test")}
+    assert {(r.case_id, r.role) for r in G.read_export(spark, path)[1].collect()} == kept
+    G.export_dataset(cases, voxels.limit(0), path, "demo")  # already there
+    assert {(r.case_id, r.role) for r in G.read_export(spark, path)[1].collect()} == kept
+    G.export_dataset(cases, voxels.filter("volume_id = 'z'"), path, "demo", 2)
+    assert {r.case_id for r in G.read_export(spark, path)[1].collect()} == {"z"}
+    assert G.read_export(spark, path, 1)[1].count() == 3
 
 
 def test_split_files(spark, tmp_path):
