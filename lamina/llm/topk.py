@@ -53,14 +53,6 @@ def _matrix(vectors: list, width: int) -> np.ndarray:
     return out
 
 
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Exact a @ b.T; through doubles where every partial sum is exact in them."""
-    top = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
-    if top < 2.0**53:
-        return (a.astype(np.float64) @ b.astype(np.float64).T).astype(np.int64)
-    return a @ b.T
-
-
 def _blocks(rows: DataFrame, n: int, width: int, low: np.ndarray, step: np.ndarray) -> DataFrame:
     """One row a block: ids, cell numbers and exact components, each as one binary."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
