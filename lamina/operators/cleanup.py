@@ -12,7 +12,7 @@ from lamina.functions.stencils import ball_spans
 from lamina.operators import components as C
 from lamina.operators import packed as P
 from lamina.operators.channels import binarize
-from lamina.operators.gaps import patch_gaps
+from lamina.operators.gaps import patch_words
 from lamina.session import settle
 
 PART = ["volume_id", "component"]
@@ -79,16 +79,20 @@ def plug_words(words: DataFrame, keys: Sequence[str] = ("volume_id",), rounds: i
 
 def plug_holes(mask: DataFrame, frames: DataFrame, keys: Sequence[str] = ("volume_id",), rounds: int = 5) -> DataFrame:
     """:func:`plug_words` on voxels; frames that are one cell thin along an axis stay as they are."""
+    return P.unpack(plug_thick(P.pack(mask, keys), frames, keys, rounds), keys)
+
+
+def plug_thick(words: DataFrame, frames: DataFrame, keys: Sequence[str] = ("volume_id",), rounds: int = 5) -> DataFrame:
+    """:func:`plug_holes` of packed words."""
     thick = frames.filter("fz1 > fz0 AND fy1 > fy0 AND fx1 > fx0").select(*keys)
-    words = P.pack(mask, keys)
     plugged = plug_words(words.join(thick, list(keys), "left_semi"), keys, rounds)
-    return P.unpack(plugged.unionByName(words.join(thick, list(keys), "left_anti")), keys)
+    return plugged.unionByName(words.join(thick, list(keys), "left_anti"))
 
 
 def close_components(runs: DataFrame, volumes: DataFrame, radius: int) -> DataFrame:
-    """Closing of every component on its own, from component runs."""
-    voxels = C.from_runs(runs, keys=PART)
-    return P.close(voxels, volumes, ball_spans(radius), PART)
+    """Closing of every component on its own, from component runs, as packed words."""
+    spans = ball_spans(radius)
+    return P.erode_words(P.dilate_words(C.words_of(runs, PART), spans, volumes, PART), spans, PART)
 
 
 def run_stages(
@@ -105,27 +109,29 @@ def run_stages(
     out = {"raw": mask}
     if through == "raw":
         return out
+    # From here on the state is packed words by component; voxel rows are made for what a caller reads.
     kept = settle(C.large_runs(C.component_runs(mask, volumes, settings.connectivity), settings.min_size))
     out["remove_small"] = C.from_runs(kept)
     if through == "remove_small":
         return out
     closing = settings.closing and settings.closing_radius > 0
     frames = settle(component_frames(kept, volumes, settings.closing_radius if closing else 0))
-    parts = C.from_runs(kept, keys=PART)
-    if closing:
-        parts = settle(close_components(kept, volumes, settings.closing_radius))
-    out["closing"] = parts.select(*M.VOXEL).distinct()
+    parts = settle(close_components(kept, volumes, settings.closing_radius) if closing else C.words_of(kept, PART))
+    out["closing"] = P.unpack(P.merge(parts))
     if "patch" in wanted:
         if settings.patching:
-            parts = settle(patch_gaps(parts, frames))
-        out["patch"] = parts.select(*M.VOXEL).distinct()
+            parts = settle(patch_words(parts, frames))
+        out["patch"] = P.unpack(P.merge(parts))
     if "plug" in wanted:
         if settings.plugging:
-            parts = settle(plug_holes(parts, frames, PART, settings.plug_rounds))
-        out["plug"] = parts.select(*M.VOXEL).distinct()
+            parts = settle(plug_thick(parts, frames, PART, settings.plug_rounds))
+        out["plug"] = P.unpack(P.merge(parts))
     if "fill" in wanted:
-        whole = out["plug"]
-        out["fill"] = C.fill_holes(whole, C.bounds(volumes)) if settings.filling else whole
+        words = P.merge(parts)
+        if settings.filling:
+            words = settle(words)
+            words = P.merge(words, C.words_of(C.enclosed_of(words, C.bounds(volumes))))
+        out["fill"] = P.unpack(words)
     return out
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lamina.operators import components as C
+from lamina.operators import packed as P
 from lamina.session import settle
 
 PART = ["volume_id", "component"]
@@ -142,14 +143,18 @@ def patch_gaps(parts: DataFrame, frames: DataFrame) -> DataFrame:
 
     ``parts`` holds ``(volume_id, component, z, y, x)``, ``frames`` the component crops.
     """
-    painted = settle(painted_gaps(parts, frames).distinct())
+    return P.unpack(patch_words(P.pack(parts, PART), frames), PART)
+
+
+def patch_words(words: DataFrame, frames: DataFrame) -> DataFrame:
+    """:func:`patch_gaps` of packed words. Voxels become rows only to be projected."""
+    painted = settle(P.pack(painted_gaps(P.unpack(words, PART), frames), PART))
     touched = painted.select(*PART).distinct()
-    old = parts.select(*PART, "z", "y", "x").join(touched, PART, "left_semi")
-    tagged = old.withColumn("version", F.lit(0)).unionByName(
-        old.unionByName(painted).distinct().withColumn("version", F.lit(1))
-    )
+    old = words.join(touched, PART, "left_semi")
+    version = lambda df, v: df.withColumn("version", F.lit(v))
+    tagged = version(old, 0).unionByName(version(P.merge(old, painted, keys=PART), 1))
     versions = frames.join(touched, PART, "left_semi").withColumn("version", F.explode(F.array(F.lit(0), F.lit(1))))
-    holes = C.count_internal_holes(tagged, versions, [*PART, "version"])
+    holes = C.count_holes_of(tagged, versions, [*PART, "version"])
     worse = (
         holes.groupBy(*PART)
         .agg(
@@ -159,5 +164,4 @@ def patch_gaps(parts: DataFrame, frames: DataFrame) -> DataFrame:
         .filter("after > before")
         .select(*PART)
     )
-    kept = painted.join(worse, PART, "left_anti")
-    return parts.select(*PART, "z", "y", "x").unionByName(kept).distinct()
+    return P.merge(words, painted.join(worse, PART, "left_anti"), keys=PART)

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scoring", "catalog", "channels", "reports", "edits")
+MODULES = ("scoring", "catalog", "channels", "reports", "edits", "wide")
 
 
 def load_all() -> None:

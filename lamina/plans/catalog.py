@@ -341,12 +341,12 @@ def volume_report(spark, folder):
     return stats.volume_report(X.voxels(spark, folder), X.volumes(spark, folder))
 
 
-def nearest_gap_sql(source: str) -> str:
+def nearest_gap_sql(source: str, width: int = X.SIDE) -> str:
     """Squared distance to the nearest empty cell by growing offsets; holes are never deep in the test data."""
     offsets = ", ".join(f"({z}, {y}, {x})" for z, y, x in ball_offsets(5))
     return f"""gaps AS (SELECT volume_id, z, y, x, min(dz*dz + dy*dy + dx*dx) AS d2 FROM (
   SELECT f.volume_id, f.z, f.y, f.x, dz, dy, dx FROM {source} f CROSS JOIN (VALUES {offsets}) o(dz, dy, dx)
-  WHERE z + dz BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 AND x + dx BETWEEN 0 AND 23) c
+  WHERE z + dz BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 AND x + dx BETWEEN 0 AND {width - 1}) c
   ANTI JOIN {source} g ON g.volume_id = c.volume_id AND g.z = c.z + c.dz AND g.y = c.y + c.dy AND g.x = c.x + c.dx GROUP BY 1, 2, 3, 4)"""
 
 

@@ -206,11 +206,11 @@ SCORES_SQL = (
 )
 
 
-def component_sql(name: str, source: str, connectivity: int) -> str:
+def component_sql(name: str, source: str, connectivity: int, width: int = SIDE) -> str:
     """CTEs that label ``source(volume_id, z, y, x)`` on the 24-voxel grid as ``name(.., id, lab)``."""
     reach = {6: " AND abs(a.z-b.z)+abs(a.y-b.y)+abs(a.x-b.x) = 1",
              18: " AND abs(a.z-b.z)+abs(a.y-b.y)+abs(a.x-b.x) <= 2", 26: ""}[connectivity]
-    return f"""{name}_f AS MATERIALIZED (SELECT volume_id, z, y, x, (z*24+y)*24+x AS id FROM {source}),
+    return f"""{name}_f AS MATERIALIZED (SELECT volume_id, z, y, x, (z*24+y)*{width}+x AS id FROM {source}),
 {name}_e AS MATERIALIZED (SELECT a.volume_id, a.id AS s, b.id AS t FROM {name}_f a JOIN {name}_f b
    ON a.volume_id = b.volume_id AND b.z BETWEEN a.z-1 AND a.z+1
   AND b.y BETWEEN a.y-1 AND a.y+1 AND b.x BETWEEN a.x-1 AND a.x+1{reach}),
@@ -221,3 +221,26 @@ def component_sql(name: str, source: str, connectivity: int) -> str:
   JOIN {name}_e e ON c.volume_id = e.volume_id AND c.id = e.s
   JOIN recurring.{name} rc ON rc.volume_id = e.volume_id AND rc.id = e.t
   WHERE c.lab < rc.lab GROUP BY 1, 2)"""
+
+
+# Two volumes side by side: 48 voxels wide, so that runs, words and tiles end inside.
+WIDTH = 2 * SIDE
+WIDE_SQL = f"""wide_volumes AS MATERIALIZED (SELECT DISTINCT 'w' || CAST(CAST(substr(volume_id, 2) AS INT) // 24 * 24 AS VARCHAR) AS volume_id, 24 AS d, 24 AS h, {WIDTH} AS w FROM volumes)"""
+
+
+def wide_sql(name: str, source: str) -> str:
+    """``source`` voxels in the coordinates of the wide volumes."""
+    number = "CAST(substr(volume_id, 2) AS INT)"
+    return f"""{name} AS MATERIALIZED (SELECT 'w' || CAST({number} // 24 * 24 AS VARCHAR) AS volume_id, z, y, x + {number} % 24 // 12 * 24 AS x FROM {source})"""
+
+
+def wide(mask: DataFrame) -> DataFrame:
+    number = F.substring("volume_id", 2, 20).cast("int")
+    return mask.select(
+        F.concat(F.lit("w"), (number - number % 24).cast("string")).alias("volume_id"), "z", "y",
+        (F.col("x") + F.when(number % 24 == 12, SIDE).otherwise(0)).cast("int").alias("x"))
+
+
+def wide_volumes(spark: SparkSession, folder: str) -> DataFrame:
+    keys = wide(volumes(spark, folder).select("volume_id", *[F.lit(0).alias(c) for c in ("z", "y", "x")])).select("volume_id").distinct()
+    return keys.select("volume_id", F.lit(SIDE).alias("d"), F.lit(SIDE).alias("h"), F.lit(WIDTH).alias("w"))

@@ -24,10 +24,10 @@ def _ball(r: int) -> str:
     )
 
 
-def dilate_sql(name: str, source: str, r: int, keys: str = "volume_id") -> str:
+def dilate_sql(name: str, source: str, r: int, keys: str = "volume_id", width: int = X.SIDE) -> str:
     return f"""{name} AS MATERIALIZED (
   SELECT DISTINCT {keys}, z + dz AS z, y + dy AS y, x + dx AS x FROM {source}, {_ball(r)} o
-  WHERE z + dz BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 AND x + dx BETWEEN 0 AND 23)"""
+  WHERE z + dz BETWEEN 0 AND 23 AND y + dy BETWEEN 0 AND 23 AND x + dx BETWEEN 0 AND {width - 1})"""
 
 
 def erode_sql(name: str, source: str, r: int, keys: str = "volume_id") -> str:
@@ -113,23 +113,23 @@ def euler_sql(name: str, source: str) -> str:
   FROM volumes v LEFT JOIN {name}_cells c ON c.volume_id = v.volume_id GROUP BY 1)"""
 
 
-def holes_sql(name: str, source: str) -> str:
+def holes_sql(name: str, source: str, volumes: str = "volumes", width: int = X.SIDE) -> str:
     """Enclosed 6-connected background voxels of ``source`` as ``name(volume_id, z, y, x, lab)``.
 
     Floods the background from the faces; only what the flood misses is labelled.
     """
     return f"""{name}_grid AS (SELECT volume_id, CAST(a.z AS INT) AS z, CAST(b.y AS INT) AS y, CAST(c.x AS INT) AS x
-  FROM volumes CROSS JOIN (SELECT UNNEST(range(24)) AS z) a CROSS JOIN (SELECT UNNEST(range(24)) AS y) b
-  CROSS JOIN (SELECT UNNEST(range(24)) AS x) c),
-{name}_bg AS MATERIALIZED (SELECT *, (z*24+y)*24+x AS id FROM {name}_grid ANTI JOIN {source} USING (volume_id, z, y, x)),
+  FROM {volumes} CROSS JOIN (SELECT UNNEST(range(24)) AS z) a CROSS JOIN (SELECT UNNEST(range(24)) AS y) b
+  CROSS JOIN (SELECT UNNEST(range({width})) AS x) c),
+{name}_bg AS MATERIALIZED (SELECT *, (z*24+y)*{width}+x AS id FROM {name}_grid ANTI JOIN {source} USING (volume_id, z, y, x)),
 {name}_e AS MATERIALIZED (SELECT a.volume_id, a.id AS s, b.id AS t FROM {name}_bg a,
   (VALUES (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) o(dz,dy,dx), {name}_bg b
   WHERE b.volume_id = a.volume_id AND b.z = a.z+dz AND b.y = a.y+dy AND b.x = a.x+dx),
 {name}_flood(volume_id, id) AS (
-  SELECT volume_id, id FROM {name}_bg WHERE z IN (0, 23) OR y IN (0, 23) OR x IN (0, 23)
+  SELECT volume_id, id FROM {name}_bg WHERE z IN (0, 23) OR y IN (0, 23) OR x IN (0, {width - 1})
   UNION SELECT e.volume_id, e.t FROM {name}_flood f JOIN {name}_e e ON e.volume_id = f.volume_id AND e.s = f.id),
 {name}_shut AS MATERIALIZED (SELECT volume_id, z, y, x FROM {name}_bg ANTI JOIN {name}_flood USING (volume_id, id)),
-{X.component_sql(name + '_cc', name + '_shut', 6)},
+{X.component_sql(name + '_cc', name + '_shut', 6, width)},
 {name} AS MATERIALIZED (SELECT volume_id, z, y, x, lab FROM {name}_cc JOIN {name}_cc_f f USING (volume_id, id))"""
 
 
@@ -153,7 +153,8 @@ def betti(spark, folder):
     return score.betti_numbers(X.predicted(spark, folder), X.volumes(spark, folder))
 
 
-VOI_SQL = f"""{X.component_sql('pc', 'pred', 26)}, {X.component_sql('tc', 'truth', 26)},
+def voi_sql(width: int = X.SIDE) -> str:
+    return f"""{X.component_sql('pc', 'pred', 26, width)}, {X.component_sql('tc', 'truth', 26, width)},
 cont AS MATERIALIZED (SELECT volume_id, coalesce(p.lab, -1) AS p, coalesce(t.lab, -1) AS t, count(*) AS n
   FROM pc p FULL JOIN tc t USING (volume_id, id) GROUP BY ALL),
 frac AS (SELECT volume_id, p, t, CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY volume_id) AS pij,
@@ -165,6 +166,9 @@ voi AS MATERIALIZED (SELECT volume_id, CAST(sum(n) AS BIGINT) AS n_foreground, -
   FROM frac GROUP BY 1)"""
 
 
+VOI_SQL = voi_sql()
+
+
 @query(
     "voi",
     f"""{MASKS}, {VOI_SQL} SELECT volume_id, n_foreground, round(voi_split, 6) AS voi_split,
