@@ -369,8 +369,9 @@ def mine(vectors: DataFrame, is_anchor: Column, positives: int = 5, negatives: i
     forget(rows)
     near = keep(search(tree, asked, width, True, positives), "positives")
     # Whole numbers: s is in a window if low * positive <= 100 * s <= high * positive.
-    bounds = near.select("a_block", "a", F.col("rank").alias("tag"), F.expr(f"-(-{low} * score - pmod(-{low} * score, 100)) div 100").alias("low"),
-                         F.expr(f"({high} * score - pmod({high} * score, 100)) div 100").alias("high"))
+    part = "CAST({0}(CAST(score AS DECIMAL(20, 0)) * {1} / 100) AS BIGINT)"
+    bounds = near.select("a_block", "a", F.col("rank").alias("tag"), F.expr(part.format("ceil", low)).alias("low"),
+                         F.expr(part.format("floor", high)).alias("high"))
     windows = bounds.groupBy("a_block").agg(F.collect_list(F.struct("a", "tag", "low", "high")).alias("windows"))
     # A negative score has an empty window: nothing is both above half of it and below.
     windows = windows.withColumn("windows", F.filter("windows", lambda w: w["low"] <= w["high"]))
