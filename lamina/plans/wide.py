@@ -12,10 +12,9 @@ from lamina.operators.distance import distance_transform
 from lamina.plans import fixtures as X
 from lamina.plans.catalog import nearest_gap_sql
 from lamina.plans.registry import query
-from lamina.plans.scoring import MASKS, dilate_sql, erode_sql, holes_sql, scored_masks, voi_sql
+from lamina.plans.scoring import MASKS, dilate_sql, erode_sql, scored_masks, voi_sql
 
 _TRUTH = f"{MASKS}, {X.WIDE_SQL}, {X.wide_sql('wide', 'truth')}"
-_GUESS = f"{MASKS}, {X.WIDE_SQL}, {X.wide_sql('wide', 'guess')}"
 TILE = 8
 
 
@@ -32,15 +31,6 @@ def connected_components_wide(spark, folder):
     return C.connected_components(*_truth(spark, folder), 26, tile=TILE)
 
 
-@query(
-    "fill_holes_wide",
-    f"{_GUESS}, {holes_sql('h', 'wide', 'wide_volumes', X.WIDTH)} SELECT * FROM wide UNION ALL SELECT volume_id, z, y, x FROM h",
-    derive_once=True,
-)
-def fill_holes_wide(spark, folder):
-    return C.fill_holes(X.wide(X.predicted(spark, folder)), C.bounds(X.wide_volumes(spark, folder)), tile=TILE)
-
-
 @query(
     "closing_wide",
     f"{_TRUTH}, {dilate_sql('grown', 'wide', 2, width=X.WIDTH)}, {erode_sql('shut', 'grown', 2)} SELECT * FROM shut",
