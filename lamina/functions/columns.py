@@ -23,10 +23,22 @@ def case_id_from_filename(path: str) -> Column:
     return F.regexp_replace(file_stem(path), "_[0-9]+$", "")
 
 
+def _two_decimals(value: Column) -> Column:
+    """The exact binary value with two decimals, ties to even; rounding functions start from its shortest text instead."""
+    whole = F.floor(value)
+    # Hundredths in units of 2^-52, which hold every fraction of a double from 1 on.
+    parts = ((value - whole) * 2.0**52).cast("long") * 100
+    cents, rest = F.shiftright(parts, 52), parts.bitwiseAND(F.lit((1 << 52) - 1))
+    half = F.lit(1 << 51)
+    up = (rest > half) | ((rest == half) & (cents % 2 == 1))
+    total = (whole * 100 + cents + up.cast("long")).cast("decimal(20,0)")
+    return (total * F.lit("0.01").cast("decimal(3,2)")).cast("decimal(22,2)").cast("string")
+
+
 def format_bytes(size: str) -> Column:
     """Readable size in 1024 steps with two decimals, ties to even."""
     value = F.col(size).cast("double")
-    text = lambda v, unit: F.format_string(f"%.2f {unit}", F.bround(v, 2))
+    text = lambda v, unit: F.concat(_two_decimals(v), F.lit(f" {unit}"))
     out = text(value / 1024.0 ** (len(BYTE_UNITS) - 1), BYTE_UNITS[-1])
     for step in reversed(range(len(BYTE_UNITS) - 1)):
         scaled = value / 1024.0**step

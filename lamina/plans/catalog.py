@@ -327,7 +327,9 @@ _BYTES_SQL = """CASE WHEN b < 1024 THEN format('{:.2f} B', b) WHEN b < 1048576 T
     f"SELECT k AS id, {_BYTES_SQL} AS size FROM (SELECT o_orderkey AS k, CAST(o_orderkey * o_orderkey * o_custkey AS DOUBLE) AS b FROM orders)",
 )
 def format_bytes(spark, folder):
-    o = X.table(spark, folder, "orders").selectExpr("o_orderkey AS id", "o_orderkey * o_orderkey * o_custkey AS b")
+    # Wide decimals: the product of the keys of larger tables exceeds a BIGINT.
+    key = "CAST(o_orderkey AS DECIMAL(20, 0))"
+    o = X.table(spark, folder, "orders").selectExpr("o_orderkey AS id", f"{key} * {key} * o_custkey AS b")
     return o.select("id", K.format_bytes("b").alias("size"))
 
 

@@ -92,3 +92,26 @@ def test_errors_surface(spark):
         patches.require_patches(patches.patch_index(labels, volumes, PatchSettings((4, 4, 4), (4, 4, 4))))
     with pytest.raises(ValueError):
         PatchSettings((0, 1, 1))
+
+
+def test_sizes_beyond_64_bits(spark, tmp_path):
+    from __spark_entry__ import queries
+
+    keys = [(9_000_000, 899_999), (8_999_999, 3), (1, 165), (0, 5)]
+    spark.createDataFrame(keys, "o_orderkey LONG, o_custkey LONG").write.parquet(str(tmp_path / "orders.parquet"))
+    got = {r.id: r.size for r in queries()["format_bytes"](spark, str(tmp_path)).collect()}
+    assert got == {k: _two_decimals(float(k * k * c)) for k, c in keys}
+
+
+def test_sizes_round_by_their_exact_value(spark):
+    from lamina.functions.columns import format_bytes
+
+    # The first one is just below a half of a hundredth, though its shortest text ends in 5; then ties and limits.
+    sizes = [5.1250591679243846e19, 1024 * 1.125, 1024 * 1.375, 1023.0, 1024.0, 1048575.0, 2.0**40, 0.0]
+    rows = spark.createDataFrame([(s,) for s in sizes], "b DOUBLE").select("b", format_bytes("b").alias("size")).collect()
+    assert {r.b: r["size"] for r in rows} == {s: _two_decimals(s) for s in sizes}
+
+
+def _two_decimals(size):
+    step = min(4, next((k for k in range(5) if size < 1024.0 ** (k + 1)), 4))
+    return f"{size / 1024.0**step:.2f} {('B', 'KB', 'MB', 'GB', 'TB')[step]}"
