@@ -278,3 +278,18 @@ def test_held_out_beats_the_word_model(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     out = language_model.score(df, F.col("doc_id") % 10 != 0, PATH).where("doc_id % 10 = 0").agg(F.sum("score"), F.sum("base_score")).first()
     assert out[0] > 1.1 * out[1]
+
+
+def test_attention_learns_from_every_window(spark, monkeypatch):
+    texts = [f"{t} {i}" for i, t in enumerate(_texts(40, 13) * 60)] + [" ".join(_texts(40, 14))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    moves, kept = [], language_model.keep
+    monkeypatch.setattr(language_model, "SHARD", 1 << 14)
+    monkeypatch.setattr(language_model, "keep", lambda d, name: moves.append(kept(d, name)) or moves[-1] if name == "moves" else kept(d, name))
+    learned = F.col("doc_id") % 10 != 0
+    found = {r.doc_id: r.score for r in language_model.score(df.repartition(2), learned, PATH).collect()}
+    ids = [language_model.pieces(t.encode().lower().split(), PATH)[1].sum() + 1 for i, t in enumerate(texts) if i % 10]
+    rows = language_model._encoder(PATH).get_vocab_size() + 3  # the embeddings; what follows is moved by every window
+    assert sum(m.where(F.col("id") == rows).agg(F.sum("weight")).first()[0] for m in moves) == sum(-(-n // attention.SCORED) for n in ids)
+    again = {r.doc_id: r.score for r in language_model.score(df.repartition(5), learned, PATH).collect()}
+    assert found.keys() == again.keys() and all(abs(found[k] - again[k]) < 1e-4 * abs(found[k]) for k in found)
