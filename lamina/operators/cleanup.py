@@ -13,7 +13,7 @@ from lamina.operators import components as C
 from lamina.operators import packed as P
 from lamina.operators.channels import binarize
 from lamina.operators.gaps import patch_words
-from lamina.session import settle
+from lamina.session import settle, tasks_for
 
 PART = ["volume_id", "component"]
 _LOW32 = "4294967295L"
@@ -54,9 +54,13 @@ def plug_words(words: DataFrame, keys: Sequence[str] = ("volume_id",), rounds: i
             pinches.append(f"{near.format('own')} & {side} & ~own & ~{near.format(side)}")
     grown = " | ".join(["own", *[f"({p})" for p in pinches]])
     empty = F.lit(0).cast("long")
+    # Words are few bytes but make many rows, and joins before may have left all words of a component in one task.
+    # So each round deals them anew, by blocks of lines whose rows meet again, to tasks of bounded output.
+    tasks = tasks_for(words.count() * len(lines) * 3)
+    blocks = [F.expr("z div 8"), F.expr("y div 8"), "xb"]
     for _ in range(rounds):
         spread = (
-            words.select(*keys, "z", "y", F.inline(halo))
+            words.repartition(tasks, *keys, *blocks).select(*keys, "z", "y", F.inline(halo))
             .filter("wide != 0")
             .select("*", F.explode(roles).alias("r"))
             .select(

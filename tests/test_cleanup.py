@@ -61,3 +61,21 @@ def test_plug(spark):
 def test_unknown_stage(spark, masks):
     with pytest.raises(ValueError):
         cleanup.run_stages(B.frame(spark, **masks), B.volumes(spark, **masks), through="nothing")
+
+
+def test_plugging_spreads_one_large_component(spark, monkeypatch):
+    from lamina import session
+    from lamina.operators import packed
+
+    monkeypatch.setattr(session, "CELLS_A_TASK", 1 << 12)
+    cells = spark.range(40 * 40).selectExpr("'a' AS volume_id", "5L AS component", "CAST(id div 40 AS INT) AS z", "CAST(id % 40 AS INT) AS y",
+                                            "CAST((id * 7) % 64 AS INT) AS x")
+    # As a shuffled join before leaves them: all words of the component together.
+    words = session.settle(packed.pack(cells, cleanup.PART)).repartition(7, *cleanup.PART)
+    before = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = cleanup.plug_words(words, cleanup.PART, 2).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", before)
+    assert max(sizes) < sum(sizes) / 2
