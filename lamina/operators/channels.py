@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from math import exp
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lamina import model as M
 from lamina.functions.columns import argmax_label
+from lamina.operators.lines import CELLS, along_lines
 
 # Default affinity offsets, face neighbours and powers of two along each axis.
 AFFINITY_OFFSETS = tuple(
@@ -51,49 +52,71 @@ def _filtered(
 ) -> DataFrame:
     """One shuffle for all three passes: cubes of ``tile`` cells with a copied border.
 
-    A voxel goes to every cube within the kernel's reach of it or of one of its mirror images. A cube with its border
-    is a dense array of fixed size in its task, whatever the volume holds.
+    A voxel goes to every cube within the kernel's reach of it; mirror images are laid out in the task, as each of them
+    that a cube needs is an image of a cell that the cube holds. A task treats many cubes at once, as dense arrays of
+    bounded size, whatever a volume holds. Voxels outside their volume take no part.
     """
     kernel = gaussian_kernel(sigma)
     reach = len(kernel) - 1
+    inside = F.lit(True)
+    for axis, size in zip(M.COORDS, ("d", "h", "w")):
+        inside = inside & (F.col(axis) >= 0) & (F.col(axis) < F.col(size))
     rows = voxels.select(*M.VOXEL, F.col(value).cast("double").alias("v")).join(
-        volumes.select("volume_id", "d", "h", "w"), "volume_id")
+        volumes.select("volume_id", "d", "h", "w"), "volume_id").filter(inside)
     for axis, size in zip(M.COORDS, ("d", "h", "w")):
-        rows = rows.withColumn(f"p{axis}", F.explode(_placed(F.col(axis), F.col(size), reach, tile)))
-    rows = rows.select("volume_id", *[F.col(f"p{c}.t").alias(f"t{c}") for c in M.COORDS],
-                       *[F.col(f"p{c}.p").alias(f"p{c}") for c in M.COORDS], "d", "h", "w", "v")
-
-    def treat(rows: pd.DataFrame) -> pd.DataFrame:
-        start = [int(rows[f"t{c}"].iloc[0]) * tile for c in M.COORDS]
-        shape = [min(tile, int(rows[n].iloc[0]) - a) + 2 * reach for n, a in zip("dhw", start)]
-        at = tuple(rows[f"p{c}"].to_numpy() - a + reach for c, a in zip(M.COORDS, start))
-        own, stored = np.zeros(shape), np.zeros(shape, bool)
-        np.add.at(own, at, rows["v"].to_numpy())
-        stored[at] = True
-        blurred, reached = own, stored
-        for axis in range(3):
-            n = blurred.shape[axis] - 2 * reach
-            parts = [blurred.take(range(k, k + n), axis) for k in range(2 * reach + 1)]
-            blurred = sum(p * kernel[abs(k - reach)] for k, p in enumerate(parts))
-            reached = np.logical_or.reduce([reached.take(range(k, k + n), axis) for k in range(2 * reach + 1)])
-        inner = own[tuple(slice(reach, n - reach) for n in shape)]
-        found = np.nonzero(reached)
-        cells = {c: (i + a).astype(np.int32) for c, i, a in zip(M.COORDS, found, start)}
-        return pd.DataFrame({"volume_id": rows["volume_id"].iloc[0], **cells, name: combine(inner, blurred)[found]})
+        rows = rows.withColumn(f"t{axis}", F.explode(F.expr(
+            f"sequence(CAST(greatest({axis} - {reach}, 0) div {tile} AS INT), CAST(least({axis} + {reach}, {size} - 1) div {tile} AS INT))")))
+
+    def treat(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        cube = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+        corner = np.stack([rows.column(f"t{c}").to_numpy()[starts].astype(np.int64) * tile for c in M.COORDS], 1)
+        sides = np.stack([rows.column(n).to_numpy()[starts].astype(np.int64) for n in "dhw"], 1)
+        # Cells that a cube holds before and from its corner on.
+        before, after = np.minimum(corner, reach), np.minimum(sides - corner, tile + reach)
+        at = np.stack([rows.column(c).to_numpy() for c in M.COORDS], 1) - (corner - before)[cube]
+        values = rows.column("v").to_numpy()
+        shapes, kind = np.unique(np.concatenate([before, after], 1), axis=0, return_inverse=True)
+        row_of = np.full(len(starts), -1)
+        for k, shape in enumerate(shapes):
+            held = shape[:3] + shape[3:]
+            core = np.minimum(shape[3:], tile)
+            cubes = np.nonzero(kind.ravel() == k)[0]
+            step = max(1, CELLS // int(np.prod(np.maximum(held, core + 2 * reach))))
+            for some in np.split(cubes, range(step, len(cubes), step)):
+                row_of[:] = -1
+                row_of[some] = np.arange(len(some))
+                mine = np.nonzero(row_of[cube] >= 0)[0]
+                place = np.ravel_multi_index((row_of[cube[mine]], *at[mine].T), (len(some), *held))
+                cells = len(some) * int(np.prod(held))
+                own = np.bincount(place, values[mine], cells).reshape(len(some), *held)
+                stored = np.bincount(place, minlength=cells).reshape(own.shape) > 0
+                blurred, reached = own, stored
+                for axis in range(3):
+                    n = int(core[axis])
+                    mirrored = _mirrored(np.arange(-reach, n + reach) + shape[axis], int(held[axis]))
+                    blurred, reached = blurred.take(mirrored, axis + 1), reached.take(mirrored, axis + 1)
+                    parts = [_window(blurred, axis + 1, j, n) * kernel[abs(j - reach)] for j in range(2 * reach + 1)]
+                    blurred = sum(parts)
+                    reached = np.logical_or.reduce([_window(reached, axis + 1, j, n) for j in range(2 * reach + 1)])
+                inner = own[(slice(None), *[slice(b, b + n) for b, n in zip(shape[:3], core)])]
+                found = np.nonzero(reached)
+                which = some[found[0]]
+                out = {"volume_id": rows.column("volume_id").take(pa.array(starts[which]))}
+                out |= {c: pa.array((i + corner[which, axis]).astype(np.int32)) for axis, (c, i) in enumerate(zip(M.COORDS, found[1:]))}
+                yield pa.table({**out, name: pa.array(combine(inner, blurred)[found])})
 
     out = T.StructType([voxels.schema["volume_id"], *[T.StructField(c, T.IntegerType()) for c in M.COORDS], T.StructField(name, T.DoubleType())])
-    return rows.groupBy("volume_id", "tz", "ty", "tx").applyInPandas(treat, out)
-
-
-def _placed(at: Column, n: Column, reach: int, tile: int) -> Column:
-    """(p, t): where a cell or a mirror image of it lies in the border of which tiles along one axis."""
-    # Mirror images of cell i lie at 2nm + i and 2nm - 1 - i.
-    turns = (F.lit(reach) / (2 * n)).cast("int") + 1
-    images = F.flatten(F.transform(F.sequence(-turns, turns), lambda m: F.array(2 * n * m + at, 2 * n * m - 1 - at)))
-    near = F.filter(images, lambda p: (p >= -reach) & (p < n + reach))
-    return F.flatten(F.transform(near, lambda p: F.transform(
-        F.sequence(F.greatest(F.floor((p - reach) / tile), F.lit(0)), F.least(F.floor((p + reach) / tile), F.floor((n - 1) / tile))),
-        lambda t: F.struct(p.cast("int").alias("p"), t.cast("int").alias("t")))))
+    return along_lines(rows, ["volume_id", "tz", "ty", "tx"], "z", treat, out)
+
+
+def _mirrored(at: np.ndarray, n: int) -> np.ndarray:
+    """Cells of a line of ``n`` that the places ``at`` show: it is mirrored at its ends, end cells included."""
+    at = at % (2 * n)
+    return np.where(at < n, at, 2 * n - 1 - at)
+
+
+def _window(cells: np.ndarray, axis: int, first: int, n: int) -> np.ndarray:
+    return cells[(slice(None),) * axis + (slice(first, first + n),)]
 
 
 def ensemble(probs: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

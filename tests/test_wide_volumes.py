@@ -183,6 +183,28 @@ def test_blur_over_tile_borders(spark):
         assert np.allclose(high, dense - want, atol=1e-12)
 
 
+def test_blur_treats_many_cubes_at_once(spark):
+    rng = np.random.default_rng(5)
+    dense = {f"v{i}": rng.random((i % 3 + 1, 5, i % 7 + 2)) for i in range(20)}
+    rows = [(v, *map(int, p), float(a[p])) for v, a in dense.items() for p in np.ndindex(a.shape)]
+    # Beyond the far face: not a cell of its volume, so no mirror image of one either.
+    rows.append(("v0", 0, 0, 2, 100.0))
+    voxels = spark.createDataFrame(rows, "volume_id STRING, z INT, y INT, x INT, intensity DOUBLE")
+    out = channels.gaussian_blur(voxels, B.volumes(spark, **{v: a > 0 for v, a in dense.items()}), 1.0, tile=4)
+    plan = out._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    kernel = channels.gaussian_kernel(1.0)
+    want = {}
+    for v, a in dense.items():
+        for axis in range(3):
+            n = a.shape[axis]
+            padded = a.take([i if i < n else 2 * n - 1 - i for i in (np.arange(-4, n + 4) % (2 * n))], axis)
+            a = sum(kernel[abs(k - 4)] * padded.take(range(k, k + n), axis) for k in range(9))
+        want |= {(v, *map(int, p)): a[p] for p in np.ndindex(a.shape)}
+    got = {(r.volume_id, r.z, r.y, r.x): r.blurred for r in out.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
 def test_cells_of_one_volume_use_many_tasks(spark, monkeypatch):
     from lamina import session
 
