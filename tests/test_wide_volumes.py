@@ -5,9 +5,11 @@ import time
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lamina.functions.stencils import line_reach
 from lamina.model import BridgeSettings, UnmergeSettings
 from lamina.operators import channels, components, distance, edits, lines, patches, quantiles, score, stats, unmerge
 from lamina.sources.catalog import dense_cells
@@ -92,6 +94,28 @@ def test_components_cross_every_face(spark, connectivity):
     assert got == want
 
 
+def test_many_tiles_are_labelled_at_once():
+    rng = np.random.default_rng(3)
+    rows, want = [], {}
+    for tile, corner in enumerate(((0, 0, 0), (64, 32, 96), (32, 0, 2048))):
+        for mask in (7, 9):
+            dense = rng.random((4, 5, 6)) < 0.3
+            lab = B.label(dense, 26)[0]
+            for p in np.argwhere(dense):
+                z, y, x = map(int, p + corner)
+                rows.append((tile, mask, z, y, x, x))
+                first = np.argwhere(lab == lab[tuple(p)])[0] + corner
+                want[tile, mask, z, y, x] = int(first[0]) << 42 | int(first[1]) << 21 | int(first[2])
+    rows = [r for t in range(3) for r in rng.permutation([r for r in rows if r[0] == t]).tolist()]
+    runs = pa.table(dict(zip(("tile", "mask", "z", "y", "x0", "x1"), map(pa.array, zip(*rows)))))
+    starts = np.array([[r[0] for r in rows].index(t) for t in range(3)])
+    got = {}
+    # Runs of single voxels need their own line as a neighbour as well.
+    for out in components._tile_labels([*line_reach(26), (0, 0, 1)], ["mask"])(runs, starts):
+        got |= {(r["tile"], r["mask"], r["z"], r["y"], r["x0"]): r["node"] for r in out.to_pylist()}
+    assert got == want
+
+
 def test_holes_in_wide_volumes(spark):
     masks = {"a": wide(7, share=0.75), "box": np.pad(np.pad(np.zeros((1, 1, 64), bool), 1, constant_values=True), 1), "none": np.zeros((3, 3, 65), bool)}
     mask, volumes = B.frame(spark, **masks), B.volumes(spark, **masks)
