@@ -199,6 +199,34 @@ def test_lines_at_exactly_the_similarity(spark):
     assert {r.doc_id for r in fuzzy_lines.repeated(docs).collect()} == {2, 4}
 
 
+def test_line_dedup_frees_what_it_wrote(spark, tmp_path):
+    import os
+
+    rows = [(i, f"{LONG} {i}\nline {i % 7}\n" + LONG.replace("mill", f"mill{i}")) for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert fuzzy_lines.drop_repeated(docs.limit(1)).count() == 1  # the folder exists from here on
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+
+    def own():
+        # Cut here, the name goes before the random part.
+        return {d for d in os.listdir(folder) if d.startswith(("line-", "distinct-lines-")) and os.listdir(f"{folder}/{d}")}
+
+    before = own()
+    out = fuzzy_lines.drop_repeated(docs)
+    assert {d.rsplit("-", 1)[0] for d in own() - before} == {"line-drops"}
+    assert sum(r.n_removed for r in out.collect()) == 20 * 3 - 8
+
+
+def test_simhash_of_long_and_short_lines(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (1, 2, 3, 62, 63, 64, 65, 200, 3000)] + [" ".join(["same"] * n) for n in (63, 64)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    hashes = {r.word: r.h & (1 << 64) - 1 for r in docs.select(F.explode(F.split("text", " ")).alias("word")).distinct()
+              .select("word", F.xxhash64("word").alias("h")).collect()}
+    got = {r.doc_id: r.bits & (1 << 64) - 1 for r in docs.select("doc_id", fuzzy_lines.simhash(F.col("text")).alias("bits")).collect()}
+    assert got == {i: sum(1 << b for b in range(64) if 2 * sum(hashes[w] >> b & 1 for w in t.split()) > len(t.split())) for i, t in enumerate(texts)}
+
+
 def fuzzy_lines_norm(line):
     return re.sub(r"[^a-z]+", " ", line).strip()
 
