@@ -28,7 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lamina.llm.common import forget, keep
+
 SPACE = "▁"
+#: Texts that a task holds as Python objects at a time.
+TOGETHER = 512
 #: Words in the dictionary that the lattice encodes, by falling frequency.
 DICTIONARY = 50_000
 #: Dictionary words fit the bits of a long.
@@ -89,9 +93,11 @@ def frequent_words(docs: DataFrame, text: str, most: int = DICTIONARY) -> DataFr
     """(word, n): all words at least as frequent as a count that leaves at most ``most`` of them."""
     words = docs.select(F.explode(F.split(marked(F.coalesce(F.col(text), F.lit(""))), CUT)).alias("word"))
     counts = words.where(F.length("word").between(1, MAX_WORD)).groupBy("word").agg(F.count("*").alias("n"))
+    # Written once, as the texts would else be cut and counted for the histogram and again for the words.
+    counts = keep(counts.where("n > 1"), "word-counts")
     # A coarse histogram, a few hundred rows, finds the least count.
     level = F.floor(F.log2("n") * 16)
-    histogram = counts.where("n > 1").groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n"))
+    histogram = counts.groupBy(level.alias("level")).agg(F.count("*").alias("words"), F.min("n").alias("n"))
     total, least = 0, None
     for row in sorted(histogram.collect(), key=lambda r: -r["level"]):
         total += row["words"]
@@ -190,6 +196,8 @@ class Folder(dict):
             out = b"".join(map(self.__getitem__, _WORDS.findall(word)))
         else:
             out = self.ids(self.merge(word))
+        if len(word) > MAX_WORD:
+            return out  # hardly ever met again, and of any size
         if len(self) > len(self.fixed) + MEMO:
             self.clear()
             self.update(self.fixed)
@@ -230,12 +238,21 @@ class Folder(dict):
 _FOLDERS: dict[str, Folder] = {}
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows, at most ``TOGETHER`` at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, TOGETHER):
+            yield batch.slice(at, TOGETHER)
+
+
 def encode(docs: DataFrame, path: str, text: str = "text", most: int = DICTIONARY) -> DataFrame:
     """Add ``n_tokens`` and ``ids`` (unsigned 32-bit, little-endian) to every row."""
     spark = docs.sparkSession
     table = load_pieces(path)
     check_cuts(table)
-    chosen = encode_words(frequent_words(docs, text, most), spark, table).toPandas()  # at most ``most`` rows
+    frequent = frequent_words(docs, text, most)
+    chosen = encode_words(frequent, spark, table).toPandas()  # at most ``most`` rows
+    forget(frequent)
     shared = spark.sparkContext.broadcast((table, dict(zip(chosen["word"], map(list, chosen["segments"])))))
 
     key = uuid.uuid4().hex
@@ -245,7 +262,7 @@ def encode(docs: DataFrame, path: str, text: str = "text", most: int = DICTIONAR
             _FOLDERS.clear()
             _FOLDERS[key] = Folder(*shared.value)
         look = _FOLDERS[key].__getitem__
-        for batch in batches:
+        for batch in _slices(batches):
             ids = []
             for value in batch.column(text).to_pylist():
                 if not value:
@@ -271,7 +288,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         look = texts.__getitem__
-        for batch in batches:
+        for batch in _slices(batches):
             out = []
             for ids in batch.column("ids").to_pylist():
                 raw = b"".join(map(look, np.frombuffer(ids or b"", "<u4").tolist()))

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -176,6 +177,16 @@ def test_pieces_equal_the_library(spark, most):
         assert row.decoded == (row.text or "").replace("▁", " ")
 
 
+def test_pieces_hold_few_texts_and_no_long_words():
+    batch = pa.RecordBatch.from_arrays([pa.array([str(i) for i in range(2000)])], names=["text"])
+    cut = list(pieces._slices(iter([batch])))
+    assert max(b.num_rows for b in cut) <= 512 and pa.Table.from_batches(cut).column(0).to_pylist() == batch.column(0).to_pylist()
+    folder = pieces.Folder(pieces.PieceTable({"a": (1, -1.0), "aa": (2, -0.5)}, (), 0, ()), {})
+    for n in (3, 60, 61, 5000):
+        assert len(folder["a" * n]) == 4 * (n // 2 + n % 2)
+    assert set(map(len, folder)) == {3, 60}
+
+
 def test_lattice_folds(spark):
     table = pieces.PieceTable({x: (i, -c) for i, (x, c) in enumerate(
         [("a", 2.0), ("b", 2.0), ("ab", 3.0), ("bc", 2.5), ("c", 1.7), ("abc", 6.5), ("cab", 3.1)])}, (), 0, ())
