@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from math import exp
 
 import numpy as np
@@ -14,14 +15,18 @@ from pyspark.sql import types as T
 from lamina import model as M
 from lamina.functions.columns import argmax_label
 from lamina.operators.lines import CELLS, along_lines
+from lamina.session import tasks_for
 
 # Default affinity offsets, face neighbours and powers of two along each axis.
 AFFINITY_OFFSETS = tuple(
     tuple(reach if axis == k else 0 for k in range(3)) for reach in (1, 2, 4, 8, 16) for axis in range(3)
 )
 
-#: Side of the cubes that filters work on.
+#: Side of the cubes that filters and affinities work on.
 TILE = 32
+#: What a row of a cube of affinities tells.
+_SURFACE, _IGNORED, _CUBE = 0, 1, 2
+_STEP = ("oz", "oy", "ox")
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -196,42 +201,117 @@ def affinity_targets(
     ``background_pairs``, are pairs without any surface voxel. Invalid pairs have no
     row; :func:`dense_affinity` adds them as -1.
     """
+    return _affinity(labels, components, volumes, offsets, background_pairs, False)
+
+
+def _affinity(
+    labels: DataFrame, components: DataFrame, volumes: DataFrame, offsets: Sequence[tuple[int, int, int]],
+    background_pairs: bool, dense: bool,
+) -> DataFrame:
+    """One shuffle of stored voxels to cubes of ``TILE`` cells, pairs come back as words of 32 along x.
+
+    A voxel goes to its own cube and to those of the cells that reach it by an offset; a row of its own names every cube
+    where background counts. No pair is shuffled. A task lays many cubes out at once, as dense arrays of bounded size.
+    """
     for o in offsets:
         if len(o) != 3 or not any(o):
             raise ValueError(f"offset {o} is not a non-zero 3-vector")
-    taps = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(o, ("oz", "oy", "ox"))]) for o in offsets])
-    tapped = components.withColumn("tap", F.explode(taps)).select(*M.VOXEL, "component", "tap.*")
-    step = ("oz", "oy", "ox")
-    pair = [*M.VOXEL, *step]
-    first = tapped.select(*pair, F.col("component").alias("a"), F.lit(None).cast("long").alias("b"))
-    second = tapped.select(
-        "volume_id",
-        *[(F.col(c) - F.col(o)).alias(c) for c, o in zip(M.COORDS, step)],
-        *step,
-        F.lit(None).cast("long").alias("a"),
-        F.col("component").alias("b"),
-    )
-    pairs = first.unionByName(second)
-    if background_pairs:
-        from lamina.sources.catalog import dense_cells
-
-        every = dense_cells(volumes).withColumn("tap", F.explode(taps)).select(*M.VOXEL, "tap.*")
-        nothing = F.lit(None).cast("long")
-        pairs = pairs.unionByName(every.select(*pair, nothing.alias("a"), nothing.alias("b")))
-    pairs = pairs.groupBy(*pair).agg(F.max("a").alias("a"), F.max("b").alias("b"))
-    ends = [F.col(c) + F.col(o) for c, o in zip(M.COORDS, step)]
+    sides = volumes.select("volume_id", "d", "h", "w")
+    surface = components.select(*M.VOXEL, F.col("component").cast("long").alias("component"), F.lit(_SURFACE).alias("kind"))
+    ignored = labels.filter(F.col("label") == M.IGNORE).select(*M.VOXEL, F.lit(None).cast("long").alias("component"), F.lit(_IGNORED).alias("kind"))
     inside = F.lit(True)
-    for c, end, n in zip(M.COORDS, ends, ("d", "h", "w")):
-        inside = inside & (F.col(c) >= 0) & (F.col(c) < F.col(n)) & (end >= 0) & (end < F.col(n))
-    pairs = pairs.join(volumes.select("volume_id", "d", "h", "w"), "volume_id").filter(inside).drop("d", "h", "w")
-    ignore = labels.filter(F.col("label") == M.IGNORE).select(*M.VOXEL)
-    far = ["volume_id", "fz", "fy", "fx"]
-    pairs = pairs.join(ignore, M.VOXEL, "left_anti").select(
-        "*", *[end.alias(f) for end, f in zip(ends, far[1:])]
-    )
-    pairs = pairs.join(ignore.toDF(*far), far, "left_anti")
-    same = F.coalesce(F.col("a") == F.col("b"), F.lit(False))
-    return pairs.select(*pair, same.cast("int").alias("affinity"))
+    for c, n in zip(M.COORDS, ("d", "h", "w")):
+        inside = inside & (F.col(c) >= 0) & (F.col(c) < F.col(n))
+    rows = surface.unionByName(ignored).join(sides, "volume_id").filter(inside)
+    by = [f"t{c}" for c in M.COORDS]
+    cells = [[F.col(c) - i for c, i in zip(M.COORDS, o)] for o in [(0, 0, 0), *offsets]]
+    within = [reduce(lambda a, b: a & b, [(v >= 0) & (v < F.col(n)) for v, n in zip(cell, ("d", "h", "w"))]) for cell in cells]
+    # A cube as one number: distinct numbers are found much faster than distinct structs.
+    shifts = (42, 21, 0)
+    homes = F.array(*[F.when(ok, reduce(lambda a, b: a + b, [F.shiftleft(F.floor(v / TILE).cast("long"), i) for v, i in zip(cell, shifts)]))
+                      for cell, ok in zip(cells, within)])
+    rows = rows.select("*", F.explode(F.array_compact(F.array_distinct(homes))).alias("home")).select(
+        *rows.columns, *[F.shiftright("home", i).bitwiseAND(F.lit(2097151)).cast("int").alias(t) for t, i in zip(by, shifts)])
+    tasks = None
+    if background_pairs or dense:
+        tasks = tasks_for(sides.agg(F.sum(F.col("d").cast("long") * F.col("h") * F.col("w"))).first()[0] or 0)
+        cubes = sides
+        for t, n in zip(by, ("d", "h", "w")):
+            cubes = cubes.filter(F.col(n) > 0).withColumn(t, F.explode(F.expr(f"sequence(0, CAST(({n} - 1) div {TILE} AS INT))")))
+        corner = [F.col(t) * TILE for t in by]
+        cubes = cubes.select("volume_id", *[v.alias(c) for c, v in zip(M.COORDS, corner)], F.lit(None).cast("long").alias("component"),
+                             F.lit(_CUBE).alias("kind"), "d", "h", "w", *by)
+        rows = rows.unionByName(cubes)
+    low, high = (np.array([f(0, *[o[axis] for o in offsets]) for axis in range(3)]) for f in (min, max))
+
+    def treat(rows: pa.Table, starts: np.ndarray) -> Iterator[pa.Table]:
+        cube = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, rows.num_rows)))
+        corner = np.stack([rows.column(t).to_numpy()[starts].astype(np.int64) * TILE for t in by], 1)
+        sides = np.stack([rows.column(n).to_numpy()[starts].astype(np.int64) for n in "dhw"], 1)
+        # Cells that a cube holds: its own and those within reach, as far as the volume goes.
+        begin, core = np.maximum(corner + low, 0), np.minimum(sides - corner, TILE)
+        held = np.minimum(corner + TILE + high, sides) - begin
+        at = np.stack([rows.column(c).to_numpy() for c in M.COORDS], 1) - begin[cube]
+        kind = rows.column("kind").to_numpy()
+        component = rows.column("component").combine_chunks()
+        known = component.is_valid().to_numpy(zero_copy_only=False)
+        # Equal components get equal codes; one without a number equals none.
+        code = np.arange(1, len(known) + 1) + len(known)
+        code[known] = np.unique(component.fill_null(0).to_numpy()[known], return_inverse=True)[1] + 1
+        shapes, shape_of = np.unique(np.concatenate([corner - begin, held, core], 1), axis=0, return_inverse=True)
+        row_of = np.full(len(starts), -1)
+        for k, shape in enumerate(shapes):
+            before, room, own = shape[:3], shape[3:6], shape[6:]
+            cubes = np.nonzero(shape_of.ravel() == k)[0]
+            step = max(1, CELLS // int(np.prod(room)))
+            for some in np.split(cubes, range(step, len(cubes), step)):
+                row_of[:] = -1
+                row_of[some] = np.arange(len(some))
+                mine = np.nonzero((row_of[cube] >= 0) & (kind != _CUBE))[0]
+                place = np.ravel_multi_index((row_of[cube[mine]], *at[mine].T), (len(some), *room))
+                found = kind[mine] == _SURFACE
+                flat = np.zeros(len(some) * int(np.prod(room)), np.int64)
+                np.maximum.at(flat, place[found], code[mine[found]])
+                flat[place[~found]] = -1
+                grid = flat.reshape(len(some), *room)
+                for o in offsets:
+                    # Where both ends lie in the volume.
+                    first = np.minimum(np.maximum(0, -before - o), own)
+                    last = np.maximum(np.minimum(own, room - before - o), first)
+                    a, b = (grid[(slice(None), *[slice(f + s, t + s) for f, t, s in zip(first, last, before + np.array(move))])] for move in ((0, 0, 0), o))
+                    here = (slice(None), *[slice(f, t) for f, t in zip(first, last)])
+                    valid, same = (np.zeros((len(some), own[0], own[1], 32), bool) for _ in range(2))
+                    valid[here] = (a >= 0) & (b >= 0)
+                    if not background_pairs:
+                        valid[here] &= (a > 0) | (b > 0)
+                    same[here] = (a == b) & (a > 0)
+                    same &= valid
+                    valid, same = (np.packbits(v, axis=3, bitorder="little").view("<u4")[..., 0].astype(np.int64) for v in (valid, same))
+                    words = np.nonzero(np.ones_like(valid) if dense else valid)
+                    which = some[words[0]]
+                    places = (words[1] + corner[which, 0], words[2] + corner[which, 1], corner[which, 2])
+                    yield pa.table({
+                        "volume_id": rows.column("volume_id").take(pa.array(starts[which])),
+                        **{c: pa.array(v.astype(np.int32)) for c, v in zip(M.COORDS, places)},
+                        **{c: pa.array(np.full(len(which), v, np.int32)) for c, v in zip(_STEP, o)},
+                        "n": pa.array(np.full(len(which), own[2], np.int32)), "valid": pa.array(valid[words]), "same": pa.array(same[words])})
+
+    ints = [T.StructField(c, T.IntegerType()) for c in (*M.COORDS, *_STEP, "n")]
+    schema = T.StructType([components.schema["volume_id"], *ints, T.StructField("valid", T.LongType()), T.StructField("same", T.LongType())])
+    words = along_lines(rows, ["volume_id", *by], "z", treat, schema, tasks)
+    bit = F.explode(F.expr("sequence(0, n - 1)" if dense else "filter(sequence(0, 31), i -> (shiftright(valid, i) & 1L) = 1L)"))
+    held = F.expr("CAST(shiftright(same, bit) & 1L AS INT)")
+    affinity = F.when(F.expr("shiftright(valid, bit) & 1L") == 1, held).otherwise(-1) if dense else held
+    return words.select("*", bit.alias("bit")).select(
+        "volume_id", "z", "y", (F.col("x") + F.col("bit")).alias("x"), *_STEP, affinity.alias("affinity"))
+
+
+def all_affinity(
+    labels: DataFrame, components: DataFrame, volumes: DataFrame,
+    offsets: Sequence[tuple[int, int, int]] = AFFINITY_OFFSETS, background_pairs: bool = False,
+) -> DataFrame:
+    """:func:`affinity_targets` with a row of every cell and offset, -1 where the pair is invalid."""
+    return _affinity(labels, components, volumes, offsets, background_pairs, True)
 
 
 def dense_affinity(targets: DataFrame, volumes: DataFrame, offsets: Sequence[tuple[int, int, int]]) -> DataFrame:

@@ -232,15 +232,15 @@ aff AS MATERIALIZED (SELECT a.volume_id, a.z, a.y, a.x, oz, oy, ox, CASE WHEN NO
 FROM lab a CROSS JOIN (VALUES {', '.join(map(str, _OFFSETS))}) o(oz, oy, ox) LEFT JOIN lab b ON b.volume_id = a.volume_id AND b.z = a.z + oz AND b.y = a.y + oy AND b.x = a.x + ox)"""
 
 
-def _targets(spark, folder, background=False):
+def _targets(spark, folder, background=False, targets=H.affinity_targets):
     volumes = X.volumes(spark, folder)
     parts = C.connected_components(X.truth(spark, folder), volumes)
-    return H.affinity_targets(X.voxels(spark, folder), parts, volumes, _OFFSETS, background)
+    return targets(X.voxels(spark, folder), parts, volumes, _OFFSETS, background)
 
 
 @query("affinity_targets", f"{affinity_sql(False)} SELECT * FROM aff", derive_once=True)
 def affinity_targets(spark, folder):
-    return H.dense_affinity(_targets(spark, folder), X.volumes(spark, folder), _OFFSETS)
+    return _targets(spark, folder, targets=H.all_affinity)
 
 
 @query("affinity_targets_unmasked", f"{affinity_sql(True)} SELECT * FROM aff WHERE affinity >= 0", derive_once=True)

@@ -268,3 +268,38 @@ def test_gated_runs_keep_what_scores_better(spark):
         B.frame(spark, **gap), B.frame(spark, bars=blobs).withColumn("label", F.lit(1)), B.volumes(spark, **gap),
         BridgeSettings(max_gap=5, min_size=20, tangent_radius=4, tube_radius=1))
     assert bridged.verdicts.first().n_edits >= 1 and {r.condition for r in bridged.scores.collect()} == {"control", "accepted"}
+
+
+def _affinities(labels, parts, shape, offsets, background):
+    """{(cell, offset): affinity} of every cell, -1 where the pair is invalid."""
+    out = {}
+    for o in offsets:
+        for v in np.ndindex(*shape):
+            w = tuple(int(a + b) for a, b in zip(v, o))
+            ok = all(0 <= a < n for a, n in zip(w, shape)) and labels[v] != 2 and labels[w] != 2 and (background or parts[v] > 0 or parts[w] > 0)
+            out[v, o] = int(parts[v] == parts[w] and parts[v] > 0) if ok else -1
+    return out
+
+
+def test_affinities_across_cubes_shuffle_no_pairs(spark):
+    shape, rng = (5, 37, 70), np.random.default_rng(31)
+    labels = rng.choice([0, 1, 2], shape, p=[0.85, 0.1, 0.05])
+    parts = np.where(labels == 1, rng.integers(1, 4, shape), 0)
+    rows = [("v0", *map(int, v), int(labels[v])) for v in np.ndindex(*shape) if labels[v]] + [("v0", 9, 0, 0, 2), ("v9", 0, 0, 0, 2)]
+    marked = spark.createDataFrame(rows, "volume_id STRING, z INT, y INT, x INT, label INT")
+    named = spark.createDataFrame([("v0", *map(int, v), int(parts[v]) << 40) for v in np.ndindex(*shape) if parts[v]] + [("v0", 0, -1, 0, 5)],
+                                  "volume_id STRING, z INT, y INT, x INT, component LONG")
+    empty = np.zeros((1, 2, 3), bool)  # a volume without any voxel
+    volumes = B.volumes(spark, v0=np.zeros(shape, bool), v1=empty)
+    offsets = ((1, 0, 0), (0, -3, 1), (0, 0, 16), (0, 2, -40))
+    for background in (False, True):
+        want = _affinities(labels, parts, shape, offsets, background)
+        nothing = np.zeros(empty.shape, int)
+        want = {("v0", *k): a for k, a in want.items()} | {("v1", *k): a for k, a in _affinities(nothing, nothing, empty.shape, offsets, background).items()}
+        sparse = channels.affinity_targets(marked, named, volumes, offsets, background)
+        # Only stored voxels and cubes are dealt.
+        assert "hashpartitioning(volume_id" in sparse._jdf.queryExecution().toString() and "oz" not in "".join(
+            line for line in sparse._jdf.queryExecution().toString().splitlines() if "hashpartitioning" in line)
+        for df, kept in ((sparse, lambda a: a >= 0), (channels.all_affinity(marked, named, volumes, offsets, background), lambda a: True)):
+            got = [((r.volume_id, (r.z, r.y, r.x), (r.oz, r.oy, r.ox)), r.affinity) for r in df.collect()]
+            assert len(got) == len(dict(got)) and dict(got) == {k: a for k, a in want.items() if kept(a)}
