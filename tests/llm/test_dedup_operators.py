@@ -217,6 +217,30 @@ def test_line_dedup_frees_what_it_wrote(spark, tmp_path):
     assert sum(r.n_removed for r in out.collect()) == 20 * 3 - 8
 
 
+def test_unlike_lines_with_a_phrase_in_common_are_few_pairs(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    phrase = "of the licence that comes with this work and with every copy"
+    rows = []
+    for i in range(600):
+        before, after = ([word() for _ in range(rng.randint(0, 60))] for _ in range(2))
+        line = " ".join([*before, phrase, *after])
+        rows.append((3 * i, line))
+        if i % 3 == 0:  # a near copy in which the place of the phrase moves
+            rows.append((3 * i + 1, f"xy {line}" if len(line) >= 40 else line + "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs, confirmed = [], fuzzy_lines._confirmed
+
+    def counted(distinct, found):
+        pairs.append(found.distinct().count())
+        return confirmed(distinct, found)
+
+    monkeypatch.setattr(fuzzy_lines, "_confirmed", counted)
+    assert {r.doc_id for r in fuzzy_lines.repeated(docs).collect()} == {i for i, _ in rows if i % 3 == 1}
+    # Every two of the lines share a block; only those with as much before and after the phrase are compared.
+    assert sum(pairs) < 16 * len(rows)
+
+
 def test_simhash_of_long_and_short_lines(spark):
     rng = random.Random(5)
     texts = [" ".join(f"w{rng.randrange(9)}" for _ in range(n)) for n in (1, 2, 3, 62, 63, 64, 65, 200, 3000)] + [" ".join(["same"] * n) for n in (63, 64)]
