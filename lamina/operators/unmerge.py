@@ -33,25 +33,29 @@ def nearest_seed_partition(voxels: DataFrame, seeds: DataFrame, keys: Sequence[s
     box that the unsettled voxels of a key span. One pass an axis, whatever the distances are. A key without any seed
     yields no rows. Only seed voxels at the seed's own surface can be nearest to a voxel outside it.
     """
-    at = [*keys, *M.COORDS]
-    has_seed = seeds.select(*keys).distinct()
-    inside = seeds.select(*at, "seed")
-    rest = settle(
-        voxels.select(*at).join(has_seed, list(keys), "left_semi").join(inside, at, "left_anti")
-    )
-    box = rest.groupBy(*keys).agg(
+    return _nearest(P.pack(voxels, keys), P.pack(seeds, [*keys, "seed"]), keys)
+
+
+def _nearest(own: DataFrame, sown: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """:func:`nearest_seed_partition` of packed voxels and seeds; voxels become rows only where lines need them."""
+    at, on, with_seed = [*keys, *M.COORDS], [*keys, *P.WORD_KEYS], [*keys, "seed"]
+    sown = settle(sown)
+    has_seed = sown.select(*keys).distinct()
+    taken = sown.groupBy(*on).agg(F.bit_or("bits").alias("bits"))
+    rest = settle(P.minus(own.join(has_seed, list(keys), "left_semi"), taken, keys))
+    box = P.unpack(rest, keys).groupBy(*keys).agg(
         *[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("least", F.min), ("most", F.max))]
     )
-    with_seed = [*keys, "seed"]
-    rim = P.unpack(P.surface_words(P.pack(seeds, with_seed), with_seed), with_seed)
+    rim = P.unpack(P.surface_words(sown, with_seed), with_seed)
     step = rim.select(*at, "seed", F.lit(0).cast("long").alias("d2")).join(box, list(keys))
     for axis, line in (("x", [*keys, "z", "y"]), ("y", [*keys, "z", "x"])):
         step = along_lines(step, line, axis, _spread_pass(axis), step.schema)
     carried = step.select(*at, "seed", "d2", F.lit(False).alias("wanted"))
-    asked = rest.withColumn("wanted", F.lit(True))
+    asked = P.unpack(rest, keys).withColumn("wanted", F.lit(True))
     met = carried.unionByName(asked, allowMissingColumns=True).select(*at, "seed", "d2", "wanted")
     nearest = along_lines(met, [*keys, "y", "x"], "z", _last_pass("z"), met.schema)
-    return voxels.select(*at).join(inside, at).unionByName(nearest.select(*at, "seed"))
+    mine = sown.join(own.select(*on, F.col("bits").alias("mine")), on).select(*on, "seed", F.expr("bits & mine").alias("bits"))
+    return P.unpack(mine, with_seed).select(*at, "seed").unionByName(nearest.select(*at, "seed"))
 
 
 def _costs(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -136,8 +140,12 @@ def partition_boundary(
     partition: DataFrame, volumes: DataFrame, width: int = 1, keys: Sequence[str] = tuple(PART)
 ) -> DataFrame:
     """Voxels with a face neighbour of another ``seed``, both sides, widened for ``width > 1``."""
+    return P.unpack(_boundary(P.pack(partition, [*keys, "seed"]), volumes, width, keys), keys)
+
+
+def _boundary(words: DataFrame, volumes: DataFrame, width: int, keys: Sequence[str]) -> DataFrame:
+    """:func:`partition_boundary` as words, of the packed voxels of each ``seed``."""
     labelled = [*keys, "seed"]
-    words = P.pack(partition, labelled)
     on = [*keys, *P.WORD_KEYS]
     reached = P.dilate_words(words, cross_spans(), volumes, labelled).select(
         *on, F.col("seed").alias("other"), F.col("bits").alias("reach")
@@ -152,7 +160,7 @@ def partition_boundary(
     )
     if width > 1:
         edge = P.dilate_words(edge, ball_spans(width - 1), volumes, keys)
-    return P.unpack(edge, keys)
+    return edge
 
 
 def propose_cuts(
@@ -165,9 +173,8 @@ def propose_cuts(
     """
     runs = settle(C.component_runs(mask, volumes, settings.connectivity))
     sizes = C.component_stats(runs).select(*PART, F.col("size").alias("voxel_count"))
-    voxels = C.from_runs(runs, keys=PART)
-    eroded = P.erode(voxels, ball_spans(settings.erosion_radius), keys=PART)
-    blobs = C.label_runs(C.to_runs(eroded, PART), settings.connectivity, PART)
+    eroded = P.erode_words(C.words_of(runs, PART), ball_spans(settings.erosion_radius), PART)
+    blobs = C.label_runs(C.runs_of(eroded, PART), settings.connectivity, PART)
     blobs = blobs.select(*PART, "z", "y", "x0", "x1", F.col("node").alias("seed"))
     big = (
         blobs.groupBy(*PART, "seed").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"))
@@ -181,12 +188,12 @@ def propose_cuts(
     chosen = turn if settings.budget is None else turn.filter(F.col("turn") <= settings.budget)
     chosen = settle(chosen.select(*PART))
 
-    seeds = C.from_runs(blobs.join(big, [*PART, "seed"], "left_semi").join(chosen, PART, "left_semi"), "seed", keys=PART)
-    split = settle(nearest_seed_partition(voxels.join(chosen, PART, "left_semi"), seeds))
-    edge = partition_boundary(split, volumes, settings.cut_width)
-    at = [*PART, *M.COORDS]
-    cut = split.select(*at).join(edge, at, "left_anti")
-    pieces = C.label_runs(C.to_runs(cut, PART), settings.connectivity, PART).withColumnRenamed("node", "piece")
+    labelled = [*PART, "seed"]
+    seeds = C.words_of(blobs.join(big, labelled, "left_semi").join(chosen, PART, "left_semi"), labelled)
+    whole = C.words_of(runs.join(chosen, PART, "left_semi"), PART)
+    split = settle(P.pack(_nearest(whole, seeds, PART), labelled))
+    cut = P.minus(whole, _boundary(split, volumes, settings.cut_width, PART), PART)
+    pieces = C.label_runs(C.runs_of(cut, PART), settings.connectivity, PART).withColumnRenamed("node", "piece")
     piece_sizes = pieces.groupBy(*PART, "piece").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("size"))
     kept = piece_sizes.filter(F.col("size") >= settings.min_piece_size).select(*PART, "piece")
     cleaned = C.from_runs(pieces.join(kept, [*PART, "piece"], "left_semi"))

@@ -196,3 +196,17 @@ def test_morphology(spark):
             assert (B.array(worn, m.shape, name) == B.erode(big, B.ball(1))).all()
     with pytest.raises(ValueError):
         packed.dilate(mask, volumes, ball_spans(17))
+
+
+def test_cutting_moves_words_not_voxels(spark, monkeypatch):
+    solid = np.zeros((9, 9, 64), bool)
+    solid[1:8, 1:8, 1:30] = solid[1:8, 1:8, 33:63] = solid[4, 4, 28:35] = True
+    rows, settle = [], unmerge.settle
+    monkeypatch.setattr(unmerge, "settle", lambda df: rows.append(settle(df)) or rows[-1])
+    proposed, info = unmerge.propose_cuts(B.frame(spark, v0=solid), B.volumes(spark, v0=solid), UnmergeSettings(min_seed_size=20, min_piece_size=20))
+    found = info.collect()
+    assert [(r.cut, r.n_seeds, r.reason) for r in found] == [(True, 2, "cut_into_2_pieces")]
+    got = B.array(proposed, solid.shape)
+    assert (got <= solid).all() and got.sum() > 0.9 * solid.sum() and not got[4, 4, 28:35].all()
+    # What is written between the steps grows with lines, not with voxels.
+    assert max(df.count() for df in rows) < solid.sum() / 5
